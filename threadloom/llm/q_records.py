@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from threadloom.llm import conversations, duplicates, secrets
+from threadloom.llm import conversations, duplicates, pii, secrets
 from threadloom.llm.registry import SQL, query
 from threadloom.sources.tables import load
 
@@ -86,3 +86,19 @@ def p5_redacted_calls(spark, d):
 @query
 def p5_redacted_configs(spark, d):
     return secrets.redact_configs(load(spark, d, "model_configs")).select("config_id", "api_key", "url", F.size("hits").alias("n_hits"))
+
+
+def _pii(spark, d):
+    texts = pii.text_parts(load(spark, d, "parts"))
+    return texts, pii.personal_information(texts, load(spark, d, "name_lexicon"))
+
+
+@query
+def p1_found(spark, d):
+    return _pii(spark, d)[1].select("part_id", "line_no", "kind").distinct()
+
+
+@query
+def p1_redacted(spark, d):
+    """Every text part with a typed placeholder for each piece of personal information."""
+    return pii.redact(*_pii(spark, d))
