@@ -38,3 +38,13 @@ def drop_cut(df: DataFrame) -> None:
     for name in df.inputFiles()[:1]:
         path = jvm.org.apache.hadoop.fs.Path(name).getParent()
         path.getFileSystem(conf).delete(path, True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in at least as many partitions as there are cores.
+
+    For scans that are followed by long work on each row: few input splits would leave cores idle.
+    With more splits than cores, as on any large table, the frame comes back as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
