@@ -181,7 +181,7 @@ def canonical_json(text: Column) -> Column:
     Null where the text is no readable JSON; values that are no object keep their compact form.
     """
     members = F.map_filter(F.from_json(text, "map<string,variant>"), lambda k, v: ~F.is_variant_null(v))
-    pairs = F.transform(F.array_sort(F.map_keys(members)), lambda k: F.concat(F.to_json(F.array(k)), F.lit(":"), F.to_json(members[k])))
+    pairs = F.transform(F.array_sort(F.map_keys(members)), lambda k: F.concat(F.regexp_replace(F.to_json(F.array(k)), r"^\[|\]$", ""), F.lit(":"), F.to_json(members[k])))
     whole = F.to_json(F.try_parse_json(text))
     return F.when(F.startswith(whole, F.lit("{")), F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))).otherwise(whole)
 

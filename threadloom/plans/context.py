@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from threadloom.functions import text as fx
 from threadloom.operators import blocks as bx
+from threadloom.operators import compress as cx
 from threadloom.operators.hierarchy import resolve_hierarchy
 from threadloom.operators.scan import scan
 from threadloom.operators.store import latest_states
@@ -515,3 +516,61 @@ _sql(
  replace(replace(replace(replace(replace(coalesce(topic, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&apos;') as topic, coalesce(round(length(summary) / 4)::bigint, 0) as tokens,
  case when compressed_tokens <= 0 then 0.0 when summary_tokens <= 0 then 'infinity'::double else greatest(1.0, round(compressed_tokens / summary_tokens)) end::double as ratio from b""",
 )
+
+
+# ---- compression and the whole rewrite ---------------------------------------------------------
+
+
+@query
+def apply_compression(spark, d):
+    """Per block in order of creation: messages covered, newly covered, and their tokens."""
+    tokens = _message_tokens(spark, d).select("session_id", F.col("id").alias("message_id"), "tokens")
+    return cx.newly_compressed(views.blocks(spark, d), tokens)
+
+
+_MTOK = """, mt as (select m.*, coalesce(round(chars / 4)::bigint, 0) as tokens
+  from m left join (select message_id, sum(length(text)) + count(*) - 1 as chars from p where type = 'text' and not ignored and text is not null group by 1) q on q.message_id = m.id)"""
+_sql(
+    "apply_compression",
+    f"""{_MTOK}, cv as (select distinct session_id, block_id, created_at, unnest(effective_message_ids) as mid from b),
+fs as (select session_id, mid, arg_min(block_id, (created_at, block_id)) as fb from cv group by all)
+select cv.session_id, cv.block_id, count(*) as n_messages, count(*) filter (where fb = cv.block_id) as n_new, coalesce(sum(coalesce(tokens, 0)) filter (where fb = cv.block_id), 0)::bigint as new_tokens
+from cv join fs using (session_id, mid) left join mt on mt.session_id = cv.session_id and mt.id = mid group by all""",
+)
+
+
+@query
+def placeholder_inject(spark, d):
+    """Summaries that consume blocks, with the consumed summaries put in."""
+    b = views.blocks(spark, d).where(F.col("summary").isNotNull())
+    eats = b.where(F.size("consumed_block_ids") > 0).select("session_id", "block_id", "summary", F.explode("consumed_block_ids").alias("eaten"))
+    bodies = b.select("session_id", F.col("block_id").alias("eaten"), F.col("summary").alias("body"))
+    got = eats.join(bodies, ["session_id", "eaten"]).groupBy("session_id", "block_id", "summary").agg(F.sort_array(F.collect_list(F.struct(F.col("eaten").alias("id"), "body"))).alias("bodies"))
+    named = F.concat("summary", F.lit(" (b"), F.col("bodies")[0]["id"].cast("string"), F.lit(")"))
+    return got.select("session_id", "block_id", F.size(cx.placeholders(named)).cast("bigint").alias("n_named"), cx.wrap(F.col("block_id"), cx.inject(named, F.col("bodies"))).alias("text"))
+
+
+@query
+def rewrite_context(spark, d):
+    """The rewritten message list with references and priorities, in order of place."""
+    view = QUERIES["compressed_view"](spark, d)
+    refs = QUERIES["message_refs"](spark, d)
+    tokens = _message_tokens(spark, d).select("session_id", "id", fx.priority(F.col("tokens")).alias("priority"))
+    return view.join(refs, ["session_id", "id"], "left").join(tokens, ["session_id", "id"], "left").select("session_id", "pos", "id", "kind", "ref", "priority")
+
+
+_sql(
+    "rewrite_context",
+    f"""{_REPLAY}{_VIEW}{_REFS}{_MTOK}, top as (select session_id, max(n) as top from r group by 1),
+old as (select m.session_id, m.id, m.seq, r.n from m left join r using (session_id, id)),
+allr as (select session_id, id, n from old where n is not null union all
+  select o.session_id, o.id, coalesce(top, 0) + row_number() over (partition by o.session_id order by seq) from old o left join top using (session_id) where n is null),
+vw as (select session_id, seq * 2 as pos, id, 'message' as kind from m where (session_id, id) not in (select (session_id, id) from cov)
+union all
+select rp.session_id, seq * 2 - 1, 'msg_' || substr(sha256(block_id::varchar || ':' || anchor_message_id), 1, 16), 'summary'
+from rp join m on m.session_id = rp.session_id and m.id = rp.anchor_message_id join (select session_id, min(seq) as fu from m where role = 'user' group by 1) u on u.session_id = rp.session_id
+where now_active and length(rp.summary) > 0 and fu <= seq)
+select vw.session_id, pos, vw.id, kind, case when n <= 9999 then 'm' || lpad(n::varchar, 4, '0') end as ref,
+ case when tokens is null then null when tokens >= 5000 then 'high' when tokens >= 500 then 'medium' else 'low' end as priority
+from vw left join allr on allr.session_id = vw.session_id and allr.id = vw.id left join mt on mt.session_id = vw.session_id and mt.id = vw.id""",
+)
