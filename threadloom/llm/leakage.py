@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from threadloom.durable import spread
 from threadloom.operators.hierarchy import union_all
 
 MIN_WORDS = 13
@@ -138,6 +139,8 @@ def find_leaks(documents: DataFrame, items: DataFrame, group_chars: int = GROUP_
     shape = "doc_id bigint, item_id bigint, n_words bigint, start_at bigint, end_at bigint"
     src = documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("bigint"), "text")
 
+    src = spread(src)
+
     def scan(group: list[tuple[int, str]]) -> DataFrame:
         held = documents.sparkSession.sparkContext.broadcast(group)
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadloom.durable import cut
+from threadloom.durable import cut, spread
 
 TOKENIZER_FOLDER = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -60,7 +60,7 @@ def token_counts(documents: DataFrame, folder: str = TOKENIZER_FOLDER, vocabular
     src = documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (F.col("text") != "")).select(
         F.col("doc_id").cast("bigint").alias("doc_id"), source_name("source").alias("source"), "text"
     )
-    return src.where(F.col("source") != "").mapInArrow(run, "doc_id bigint, source string, n_tokens bigint").where(F.col("n_tokens") > 0)
+    return spread(src.where(F.col("source") != "")).mapInArrow(run, "doc_id bigint, source string, n_tokens bigint").where(F.col("n_tokens") > 0)
 
 
 def read_targets(targets: DataFrame) -> dict[str, tuple[float, int]]:
