@@ -73,7 +73,7 @@ _LOWER = re.compile(r"(?<![\w@./\\-])(?P<a>[^\W\d_]{3,})[ \t](?P<b>[^\W\d_]{3,}(
 _HAS_NUMBER = re.compile(r"\d[\d .()/-]{5}|[A-Z]\d\d")
 _DODGES = ("dot", "(at)", "[at]", "{at}", "<at>")
 #: A number before a capital or a French street word, or a capitalised word before a number.
-_HAS_STREET = re.compile(rf"\d[A-Za-z]?,?[ \t\n]{{1,2}}(?:[A-Z]|(?:bis|ter|quater|{_RUES})\b)|[A-ZÄÖÜ][\w-]*[ \t\n]{{1,2}}\d")
+_HAS_STREET = re.compile(rf"\d[A-Za-z]?,?[ \t\n]{{1,2}}(?:[A-Z]|(?:bis|ter|quater|{_RUES})\b)|(?<![\w-])[A-ZÄÖÜ][\w-]*[ \t\n]{{1,2}}\d")
 _TITLED = re.compile(rf"(?<![\w@./-])(?P<title>{_TITLE})[ \t]+(?P<b>{_W})(?![\w@/])")
 _COMMA = re.compile(rf"(?<![\w@./-])(?P<b>{_W})(?:,[ \t]|;|,)(?P<a>[^\W\d_]\.|{_W})(?![\w@/(]|\.\w)")
 _KEYED = re.compile(rf"(?i)\bfirst[ _-]?(?:name)?[\"']?\s*[:=]\s*[\"']?(?P<a>{_W})[\"']?\s*[,;]\s*[\"']?last[ _-]?(?:name)?[\"']?\s*[:=]\s*[\"']?(?P<b>{_W})")

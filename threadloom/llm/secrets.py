@@ -40,13 +40,13 @@ _BEGIN = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _BODY = re.compile(r"[A-Za-z0-9+/=]{16,}")
 
-_USERINFO = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*://[^\s:/@\"'`]*:([^\s/\"'`<>]+)@(?=[\w\[])")
+_USERINFO = re.compile(r"(?<![A-Za-z0-9+.-])[A-Za-z][A-Za-z0-9+.-]*://[^\s:/@\"'`]*:([^\s/\"'`<>]+)@(?=[\w\[])")
 _PARAM = re.compile(r"(?i)[?&;](?:api[_-]?key|apikey|key|(?:access|auth|refresh|id)?[_-]?token|(?:client[_-]?)?secret|passw(?:or)?d|pwd|sig|signature)=([^&\s\"'`#;]+)")
 _BEARER = re.compile(r"(?i)\b(?:bearer|token)\s+([A-Za-z0-9+/=._~-]{8,})")
 _BASIC = re.compile(r"(?i)\bbasic\s+([A-Za-z0-9+/_-]{6,}={0,2})")
 
-_SECRET = r"(?:pass(?:w(?:or)?d|phrase)?|pwd|secret|token|pat|credentials?|auth|(?:[a-z0-9]*[_-]?)?key)"
-_NAME = rf"(?i:(?<![A-Za-z0-9])(?P<name>[A-Za-z0-9_.\-]*?{_SECRET})(?![A-Za-z0-9]))"
+_SECRET = r"(?:pass(?:w(?:or)?d|phrase)?|pwd|secret|token|pat|credentials?|auth|key)"
+_NAME = rf"(?i:(?<![A-Za-z0-9])(?P<name>[A-Za-z0-9_.\-]{{0,64}}?{_SECRET})(?![A-Za-z0-9]))"
 _QUOTED = re.compile(
     _NAME + r"[\"'\]]{0,2}\s*(?::=|=>|==?|:|,)\s*(?:(?:[\w.]+|\[\]byte)\()?[bfru]?(?P<q>[\"'`])(?P<value>[^\"'`\s]+)(?P=q)"
     r"(?P<more>(?:\s*(?:\+|\.)?\s*(?P=q)[^\"'`\s]+(?P=q))*)"
