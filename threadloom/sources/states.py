@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SCHEMA = (
-    "session_name string, prune struct<tools:map<string,double>, messages:struct<byMessageId:map<string,struct<tokenCount:double,allBlockIds:array<bigint>,activeBlockIds:array<bigint>>>, "
+    "session_name string, prune struct<tools:map<string,string>, messages:struct<byMessageId:map<string,struct<tokenCount:double,allBlockIds:array<bigint>,activeBlockIds:array<bigint>>>, "
     "blocksById:map<string,struct<blockId:bigint,active:boolean>>, activeBlockIds:array<bigint>, activeByAnchorMessageId:map<string,bigint>, nextBlockId:bigint, nextRunId:bigint>>, "
     "nudges struct<contextLimitAnchors:array<string>,turnNudgeAnchors:array<string>,iterationNudgeAnchors:array<string>>, stats struct<pruneTokenCounter:double,totalPruneTokens:double>, "
     "lastUpdated string, session_id string"
@@ -26,7 +26,7 @@ def read_states(spark: SparkSession, folder: str) -> DataFrame:
     return whole.select(
         "session_id",
         "session_name",
-        F.map_filter("prune.tools", lambda k, v: v.isNotNull()).alias("tools"),
+        F.map_filter(F.transform_values("prune.tools", lambda k, v: v.try_cast("double")), lambda k, v: v.isNotNull()).alias("tools"),
         F.col("prune.messages.byMessageId").alias("by_message"),
         F.greatest(F.coalesce("prune.messages.nextBlockId", F.lit(1)), F.coalesce(largest, F.lit(0)) + 1).alias("next_block_id"),
         *[tidy(F.col(f"nudges.{n}")).alias(n) for n in ("contextLimitAnchors", "turnNudgeAnchors", "iterationNudgeAnchors")],
