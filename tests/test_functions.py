@@ -21,7 +21,7 @@ def test_wildcards():
 
 
 def test_columns(spark):
-    df = spark.createDataFrame([(" M0042 ", "b12", "a<dcp-message-id>b3</dcp-message-id>b\nm0007\n", '{"b":1,"a":{"d":null,"c":[2]},"z":null}')], "m string, b string, x string, j string")
+    df = spark.createDataFrame([(" M0042 ", "b12", "a<context-ref>b3</context-ref>b\nm0007\n", '{"b":1,"a":{"d":null,"c":[2]},"z":null}')], "m string, b string, x string, j string")
     r = df.select(
         t.parse_message_ref(F.col("m")).alias("m"), t.parse_block_ref(F.col("b")).alias("b"), t.parse_message_ref(F.lit("m0000")).alias("zero"), t.strip_tags(F.col("x")).alias("x"),
         t.mask_block_tags(F.col("x")).alias("masked"), t.canonical_json(F.col("j")).alias("j"), t.message_ref(F.lit(10_000)).alias("over"), t.count_tokens(F.lit("12345678901234")).alias("n"),

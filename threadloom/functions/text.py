@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 HIGH_TOKENS, MEDIUM_TOKENS = 5000, 500
-TAG = "dcp-message-id"
+TAG = "context-ref"
 
 
 def count_tokens(text: Column) -> Column:

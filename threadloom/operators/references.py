@@ -53,17 +53,15 @@ def orphans(parents: DataFrame, references: DataFrame) -> DataFrame:
     row came after ``taken_at``. The first that holds, in this order, is the reason. Repeated
     references stay repeated; a null ``taken_at`` is never late.
     """
-    bad = doubtful_keys(parents, references)
-    reason = (
-        F.when(~F.col("present"), "missing")
-        .when(F.col("deleted"), "deleted")
-        .when(F.col("first_seen") > F.col("taken_at"), "late")
+    bad = doubtful_keys(parents, references).select(
+        F.col("parent_table").alias("_table"), F.col("parent_key").alias("_key"), F.col("present").alias("_present"), F.col("deleted").alias("_deleted"), F.col("first_seen").alias("_seen")
     )
+    reason = F.when(~F.col("_present"), "missing").when(F.col("_deleted"), "deleted").when(F.col("_seen") > F.col("taken_at"), "late")
     return (
-        references.join(bad, ["parent_table", "parent_key"])
+        references.join(bad, (F.col("parent_table") == F.col("_table")) & (F.col("parent_key") == F.col("_key")))
         .withColumn("reason", reason)
         .where(F.col("reason").isNotNull())
-        .drop("present", "deleted", "first_seen")
+        .drop("_table", "_key", "_present", "_deleted", "_seen")
     )
 
 

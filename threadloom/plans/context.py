@@ -142,6 +142,22 @@ _sql(
 from s join (select *, row_number() over (partition by session_id order by seq desc) as rn from m where role = 'assistant') l on l.session_id = s.id and rn <= 2 where s.parent_id is not null group by all""",
 )
 
+@query
+def stale_metadata(spark, d):
+    """Text and tool parts whose metadata is dropped: answers of another model than the last user asked."""
+    m = views.messages(spark, d, False)
+    last = m.where(F.col("role") == "user").groupBy("session_id").agg(F.max_by("model", F.struct("t", "id")).alias("asked"))
+    old = m.where(F.col("role") == "assistant").join(last, "session_id").where(F.col("model") != F.col("asked")).select("session_id", F.col("id").alias("message_id"), "model", "asked")
+    p = views.parts(spark, d).where(F.col("has_metadata") & F.col("type").isin("text", "tool")).select("id", "message_id")
+    return p.join(old, "message_id").select("session_id", "message_id", "id", "model", "asked")
+
+
+_sql(
+    "stale_metadata",
+    """select m.session_id, p.message_id, p.id, m.model, asked from p join m on m.id = p.message_id join (select session_id, arg_max(model, seq) as asked from m where role = 'user' group by 1) l on l.session_id = m.session_id
+where m.role = 'assistant' and m.model <> asked and p.has_metadata and p.type in ('text', 'tool')""",
+)
+
 # ---- ranges ------------------------------------------------------------------------------------
 
 
@@ -457,11 +473,11 @@ select tool, arg_max(action, ord) as action, arg_max(pattern, ord) as pattern fr
 
 
 def _tagged(text):
-    tag = F.lit('<dcp-message-id priority="high">b12</dcp-message-id>')
+    tag = F.lit('<context-ref priority="high">b12</context-ref>')
     return F.concat(F.lit("<protect> keep "), F.substring(text, 1, 20), F.lit(" </protect>"), text, tag, F.lit("\nm0042\n"))
 
 
-_TAGGED = """, tg as (select id, '<protect> keep ' || substr(text, 1, 20) || ' </protect>' || text || '<dcp-message-id priority="high">b12</dcp-message-id>' || chr(10) || 'm0042' || chr(10) as text
+_TAGGED = """, tg as (select id, '<protect> keep ' || substr(text, 1, 20) || ' </protect>' || text || '<context-ref priority="high">b12</context-ref>' || chr(10) || 'm0042' || chr(10) as text
   from p where type = 'text' and text is not null)"""
 
 
@@ -476,7 +492,7 @@ def strip_tags(spark, d):
 
 _sql(
     "strip_tags",
-    rf"""{_TAGGED} select id, regexp_replace(regexp_replace(regexp_replace(text, '(?is)<dcp-message-id[^>]*>.*?</dcp-message-id>', '', 'g'), '(?i)</?dcp-message-id[^>]*>', '', 'g'), '\n[mM]\d{{4}}\s*$', '', 'g') as text from tg""",
+    rf"""{_TAGGED} select id, regexp_replace(regexp_replace(regexp_replace(text, '(?is)<context-ref[^>]*>.*?</context-ref>', '', 'g'), '(?i)</?context-ref[^>]*>', '', 'g'), '\n[mM]\d{{4}}\s*$', '', 'g') as text from tg""",
 )
 
 
@@ -485,7 +501,7 @@ def mask_blocks(spark, d):
     return _texts(spark, d).select("id", fx.mask_block_tags(F.col("text")).alias("text"))
 
 
-_sql("mask_blocks", rf"""{_TAGGED} select id, regexp_replace(text, '(<dcp-message-id(?:\s[^>]*)?>)b\d+', '\1BLOCKED', 'g') as text from tg""")
+_sql("mask_blocks", rf"""{_TAGGED} select id, regexp_replace(text, '(<context-ref(?:\s[^>]*)?>)b\d+', '\1BLOCKED', 'g') as text from tg""")
 
 
 @query

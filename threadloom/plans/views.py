@@ -31,7 +31,7 @@ def messages(spark: SparkSession, d: str, numbered: bool = True) -> DataFrame:
         F.coalesce("t", F.lit(0)).alias("t"),
         role_name(F.try_variant_get("v", "$.role", "string")).alias("role"),
         F.coalesce(F.try_variant_get("v", "$.agent", "string"), F.lit("")).alias("agent"),
-        F.coalesce(F.try_variant_get("v", "$.modelID", "string"), F.lit("")).alias("model"),
+        F.coalesce(F.try_variant_get("v", "$.modelID", "string"), F.try_variant_get("v", "$.model.modelID", "string"), F.lit("")).alias("model"),
         F.try_variant_get("v", "$.tokens.input", "bigint").isNotNull().alias("has_tokens"),
         *[_number(n, p) for n, p in _TOKENS.items()],
         F.try_variant_get("v", "$.time.completed", "bigint").alias("completed"),
@@ -52,7 +52,7 @@ def parts(spark: SparkSession, d: str) -> DataFrame:
     return v.where(F.col("v").isNotNull()).select(
         "id", "message_id", "session_id", "pt",
         text("$.type", "type"), text("$.text", "text"), F.coalesce(F.try_variant_get("v", "$.ignored", "boolean"), F.lit(False)).alias("ignored"),
-        text("$.tool", "tool"), text("$.callID", "call_id"), text("$.state.status", "status"), text("$.state.output", "output"), text("$.reason", "reason"),
+        text("$.tool", "tool"), text("$.callID", "call_id"), text("$.state.status", "status"), text("$.state.output", "output"), text("$.reason", "reason"), F.coalesce(F.try_variant_get("v", "$.metadata", "variant").isNotNull(), F.lit(False)).alias("has_metadata"),
         F.try_variant_get("v", "$.tokens.input", "bigint").isNotNull().alias("has_tokens"), *[_number("output_tokens" if n == "output" else n, p) for n, p in _TOKENS.items()],
         F.coalesce(F.round(F.try_variant_get("v", "$.cost", "double") * 1000000).cast("bigint"), F.lit(0)).alias("cost_micro"),
     )
@@ -99,7 +99,7 @@ m1 as (
   from (select * exclude (data), case when json_valid(data) then data end as data from m0)
   where not removed and json_type(data) = 'OBJECT' and lower(trim(data->>'role')) in ('user', 'assistant')),
 m as (
-  select session_id, id, t, lower(trim(data->>'role')) as role, coalesce(data->>'agent', '') as agent, coalesce(data->>'modelID', '') as model,
+  select session_id, id, t, lower(trim(data->>'role')) as role, coalesce(data->>'agent', '') as agent, coalesce(data->>'modelID', data->>'$.model.modelID', '') as model,
          (data->>'$.tokens.input') is not null as has_tokens, coalesce((data->>'$.tokens.input')::bigint, 0) as input, coalesce((data->>'$.tokens.output')::bigint, 0) as output,
          coalesce((data->>'$.tokens.reasoning')::bigint, 0) as reasoning, coalesce((data->>'$.tokens.cache.read')::bigint, 0) as cache_read, coalesce((data->>'$.tokens.cache.write')::bigint, 0) as cache_write,
          (data->>'$.time.completed')::bigint as completed, coalesce((data->>'summary')::boolean, false) as summary,
@@ -110,7 +110,7 @@ p0 as (
   from parts where id is not null and message_id is not null group by id),
 p as (
   select id, message_id, session_id, case when abs(tc) < 100000000000 then tc * 1000 else tc end as pt, data->>'type' as type, data->>'text' as text, coalesce((data->>'ignored')::boolean, false) as ignored,
-         data->>'tool' as tool, data->>'callID' as call_id, data->>'$.state.status' as status, data->>'$.state.output' as output, data->>'reason' as reason,
+         data->>'tool' as tool, data->>'callID' as call_id, data->>'$.state.status' as status, data->>'$.state.output' as output, data->>'reason' as reason, (data->'metadata') is not null as has_metadata,
          (data->>'$.tokens.input') is not null as has_tokens, coalesce((data->>'$.tokens.input')::bigint, 0) as input, coalesce((data->>'$.tokens.output')::bigint, 0) as output_tokens,
          coalesce((data->>'$.tokens.reasoning')::bigint, 0) as reasoning, coalesce((data->>'$.tokens.cache.read')::bigint, 0) as cache_read, coalesce((data->>'$.tokens.cache.write')::bigint, 0) as cache_write,
          coalesce(round((data->>'cost')::double * 1000000)::bigint, 0) as cost_micro
