@@ -61,7 +61,9 @@ class Durations(StatefulProcessor):
             self.start.clear()
         else:
             self.start.update((start,))
-        yield pd.DataFrame({"message_id": [key[0]] * len(out), "call_id": [key[1]] * len(out), "duration_ms": pd.Series(out, dtype="int64")})
+        if out:  # plain objects: string arrays of pandas come in chunks, which the writer refuses
+            text = lambda x: pd.Series([x] * len(out), dtype=object)
+            yield pd.DataFrame({"message_id": text(key[0]), "call_id": text(key[1]), "duration_ms": pd.Series(out, dtype="int64")})
 
     def close(self) -> None:
         pass
