@@ -67,6 +67,30 @@ def test_trees_and_order_over_days(spark):
     assert {r["seq"]: r["tree_id"] for r in c.reply_trees(links).collect()} == {x: f"s#{root(x)}" for x in parent}
 
 
+LINKS = "session_id string, id string, t long, role string, name long, words array<long>"
+
+
+def test_links_equal_brute_force(spark):
+    rng = random.Random(3)
+    rows = [(f"s{i % 2}", f"i{i:03}", rng.randrange(9) * c.DAY_MS + rng.randrange(9) * 300_000, rng.choice(["user", "assistant"]), 900 + i % 3, sorted({rng.choice([*range(200), 900, 901]) for _ in range(rng.randrange(9))})) for i in range(160)]
+    want = {}
+    for sid in ("s0", "s1"):
+        order = sorted((r for r in rows if r[0] == sid), key=lambda r: (r[2], r[1]))
+        for k, x in enumerate(order):
+            best = None
+            for j, p in enumerate(order[:k]):
+                score = 8.0 if j == k - 1 and (p[3], x[3]) == ("user", "assistant") else 0.0
+                score += (p[3] != x[3]) * 0.5 + 1 / (1 + np.log1p((x[2] - p[2]) / 60_000)) + (p[4] in x[5]) + len({*p[5]} & {*x[5]}) / max(1, min(len(p[5]), len(x[5])))
+                best = max(best or (0, 0, None), (round(score, 9), j, p[1]))
+            want[x[1]] = best and best[2]
+    far = 0
+    for block in (7, 50, c.BLOCK):
+        got = c.reply_links(spark.createDataFrame(rows, LINKS), block).collect()
+        assert {r["id"]: r["parent_id"] for r in got} == want
+        far += sum(r["parent_seq"] is not None and r["seq"] - r["parent_seq"] > 6 for r in got)
+    assert far and len(want) == 160
+
+
 CALLS = "call_id string, tool string, parameters string, h1 string"
 
 

@@ -1,27 +1,33 @@
 """Message rows to ordered conversations and reply trees.
 
 Channels interleave: rows of one session may belong to several exchanges. Every content message
-gets candidate parents among the messages just before it, each scored by elapsed time, change of
-speaker, mentions of the other speaker's name and lexical overlap; the likeliest becomes its
-parent and the links form trees.
-
-All work is on slim rows: a text is reduced to a 256-bit word signature before the first shuffle.
-A session may hold a third of all rows, so no window covers a whole session: windows run over
-(session, day), and a small table with one row per session and day carries the offsets and the
-last messages of a day into the next one.
+is scored against every earlier message of its session by elapsed time, change of speaker, mentions
+of the other speaker's name and lexical overlap; the likeliest becomes its parent and the links
+form trees.
+
+All work is on slim rows: a text is reduced to the set of its hashed words before the first shuffle.
+A session may hold a third of all rows, so no window or task covers a whole session: sequence
+numbers come from scans over (session, day), and a session is cut into blocks of ``BLOCK``
+messages, each pair of blocks being scored on its own. Time grows with the square of a session.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.durable import cut
 from threadloom.operators.hierarchy import resolve_hierarchy
+from threadloom.operators.scan import scan
 from threadloom.operators.store import epoch_ms, role_name
 
 DAY_MS = 86_400_000
-SIGNATURE = ["s0", "s1", "s2", "s3"]
+#: Messages of a session that are scored together.
+BLOCK = 8192
 #: Score of an assistant's message for the user's message directly before it: the host runs the
 #: assistant on the prompt just received, so this outweighs every sum of the other terms (< 4).
 DIRECT_ANSWER = 8.0
@@ -33,30 +39,13 @@ def _words(c: Column) -> Column:
     return F.split(F.lower(c), r"[^\p{L}\p{N}_]+")
 
 
-def _signature(words: Column) -> list[Column]:
-    """Four words of 64 bits; a word of three letters or more sets one bit of the 256."""
-    hashes = F.transform(F.filter(words, lambda w: F.length(w) > 2), lambda w: F.xxhash64(w))
-
-    def fold(k: int) -> Column:
-        def step(a: Column, h: Column) -> Column:
-            return F.when(F.shiftright(h, 6).bitwiseAND(F.lit(3)) == k, a.bitwiseOR(_bit(h))).otherwise(a)
-
-        return F.aggregate(hashes, F.lit(0).cast("bigint"), step)
-
-    return [fold(k) for k in range(4)]
-
-
-def _bit(h: Column) -> Column:
-    """The bit of a hash within its word of the signature."""
-    return F.call_function("shiftleft", F.lit(1).cast("bigint"), h.bitwiseAND(F.lit(63)).cast("int"))
-
-
 def part_content(parts: DataFrame) -> DataFrame:
-    """(message_id, session_id, content, s0..s3) per message named by the parts.
+    """(message_id, session_id, content, words) per message named by the parts.
 
     content: some readable part is a tool part, or a text part that is neither ignored nor blank.
     Unreadable parts count as no content but still name their message; parts that name none are
-    left out. Repeated rows change nothing.
+    left out. Repeated rows change nothing. words: hashes of the distinct words
+    of three letters or more of the texts.
     """
     v = F.try_parse_json("data")
     read = parts.where(F.col("message_id").isNotNull()).select("message_id", "session_id", v.alias("v")).select(
@@ -66,11 +55,11 @@ def part_content(parts: DataFrame) -> DataFrame:
         F.when(~F.coalesce(F.try_variant_get("v", "$.ignored", "boolean"), F.lit(False)), F.try_variant_get("v", "$.text", "string")).alias("text"),
     )
     spoken = (F.col("type") == "text") & F.coalesce(F.col("text").rlike(r"(?U)\S"), F.lit(False))
-    bits = [F.when(spoken, s).otherwise(F.lit(0).cast("bigint")).alias(n) for n, s in zip(SIGNATURE, _signature(_words(F.col("text"))))]
+    hashes = F.transform(F.array_distinct(F.filter(_words(F.col("text")), lambda w: F.length(w) > 2)), lambda w: F.xxhash64(w))
     return (
-        read.select("message_id", "session_id", F.coalesce((F.col("type") == "tool") | spoken, F.lit(False)).alias("content"), *bits)
+        read.select("message_id", "session_id", F.coalesce((F.col("type") == "tool") | spoken, F.lit(False)).alias("content"), F.when(spoken, hashes).alias("words"))
         .groupBy("message_id", "session_id")
-        .agg(F.max("content").alias("content"), *[F.bit_or(n).alias(n) for n in SIGNATURE])
+        .agg(F.max("content").alias("content"), F.array_distinct(F.flatten(F.collect_list("words"))).alias("words"))
     )
 
 
@@ -109,72 +98,134 @@ def joined(messages: DataFrame, parts: DataFrame) -> DataFrame:
         "role",
         "name",
         F.coalesce("content", F.lit(False)).alias("content"),
-        *[F.coalesce(n, F.lit(0)).alias(n) for n in SIGNATURE],
+        F.coalesce("words", F.array().cast("array<bigint>")).alias("words"),
     )
 
 
-def _score(child: dict[str, Column], parent: Column, last_seq: Column) -> Column:
-    minutes = (child["t"] - parent["t"]) / F.lit(60_000.0)
-    direct = (child["role"] == "assistant") & (parent["role"] == "user") & (parent["seq"] == last_seq)
-    common = sum((F.bit_count(child[n].bitwiseAND(parent[n])) for n in SIGNATURE), F.lit(0))
-    least = F.least(*[sum((F.bit_count(x[n]) for n in SIGNATURE), F.lit(0)) for x in (child, parent)])
-    word = F.shiftright(parent["name"], 6).bitwiseAND(F.lit(3))
-    named = F.when(word == 0, child["s0"]).when(word == 1, child["s1"]).when(word == 2, child["s2"]).otherwise(child["s3"])
-    mention = named.bitwiseAND(_bit(parent["name"])) != 0
-    return (
-        F.when(direct, F.lit(DIRECT_ANSWER)).otherwise(F.lit(0.0))
-        + F.when(child["role"] != parent["role"], F.lit(0.5)).otherwise(F.lit(0.0))
-        + F.lit(1.0) / (F.lit(1.0) + F.log1p(F.greatest(minutes, F.lit(0.0))))
-        + F.when(mention, F.lit(1.0)).otherwise(F.lit(0.0))
-        + F.when(least > 0, common / least).otherwise(F.lit(0.0))
+def _best_parents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The likeliest parent of each child among the parents of its pair of blocks.
+
+    Rows come in order of session, child block, parent block and seq; a pair of blocks may run over
+    several batches.
+    """
+    held = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = pa.concat_tables([held, table]).combine_chunks() if held is not None else table
+        first = _group_starts(table)
+        if len(first):
+            held = table.slice(first[-1])
+            if first[-1]:
+                yield _score_groups(table.slice(0, first[-1]), first[:-1])
+    if held is not None:
+        yield _score_groups(held, np.zeros(1, np.int64))
+
+
+def _group_starts(table: pa.Table) -> np.ndarray:
+    if not table.num_rows:
+        return np.zeros(0, np.int64)
+    new = np.ones(table.num_rows, bool)
+    new[1:] = False
+    for n in ("session_id", "child_block", "parent_block"):
+        c = table.column(n).to_numpy()
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
+
+
+def _score_groups(table: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+    table = table.combine_chunks()
+    n = table.num_rows
+    seq, t, role, name, is_child, is_parent, direct = (table.column(c).to_numpy() for c in ("seq", "t", "role", "name", "is_child", "is_parent", "direct"))
+    told = role == "user"
+    listed = table.column("words").combine_chunks()
+    words = listed.flatten().to_numpy()
+    sizes = listed.value_lengths().to_numpy()
+    upto = np.cumsum(sizes)
+    best, scores = np.full(n, -1, np.int64), np.zeros(n)
+    for a, b in zip(starts, [*starts[1:], n]):
+        children = np.flatnonzero(is_child[a:b]) + a
+        end = a + int(is_parent[a:b].sum())  # parents lie first: they are the earlier block, or all rows
+        if end == a or not len(children):
+            continue
+        owner = np.repeat(np.arange(a, end), sizes[a:end])
+        own = words[upto[a] - sizes[a] : upto[end - 1]]
+        order = np.argsort(own, kind="stable")
+        own, owner = own[order], owner[order]
+        w0, w1 = upto[a] - sizes[a], upto[b - 1]
+        lo, hi = np.searchsorted(own, words[w0:w1], "left"), np.searchsorted(own, words[w0:w1], "right")
+        for c in children:
+            q = min(c, end)
+            p = a
+            if direct[c]:  # no other message can score as much
+                if q == a or seq[q - 1] != seq[c] - 1:
+                    continue
+                p = q - 1
+            if p == q:
+                continue
+            said = slice(upto[c] - sizes[c], upto[c])
+            hits = [owner[x:y] for x, y in zip(lo[said.start - w0 : said.stop - w0], hi[said.start - w0 : said.stop - w0]) if x < y]
+            s = np.full(q - p, DIRECT_ANSWER) if direct[c] else np.zeros(q - p)
+            s += np.where(told[p:q] != told[c], 0.5, 0.0)
+            s += 1.0 / (1.0 + np.log1p(np.maximum((t[c] - t[p:q]) / 60_000.0, 0.0)))
+            s += np.isin(name[p:q], words[said])
+            if hits:
+                at = np.concatenate(hits)
+                common = np.bincount(at[(at >= p) & (at < q)] - p, minlength=q - p)
+                s += common / np.maximum(np.minimum(sizes[p:q], sizes[c]), 1)
+            k = q - p - 1 - int(s[::-1].argmax())
+            best[c], scores[c] = p + k, s[k]
+    rows = np.flatnonzero(is_child)
+    found = pa.array(best[rows], mask=best[rows] < 0)
+    take = table.take(pa.array(rows))
+    parent = {c: table.column(c).combine_chunks().take(found) for c in ("id", "seq", "role")}
+    return pa.RecordBatch.from_arrays(
+        [*(take.column(c).combine_chunks() for c in ("session_id", "seq", "id", "t", "role")), parent["id"], parent["seq"], parent["role"], pa.array(scores[rows], mask=best[rows] < 0)],
+        names=["session_id", "seq", "id", "t", "role", "parent_id", "parent_seq", "parent_role", "score"],
     )
 
 
-def reply_links(rows: DataFrame, candidates: int = 6) -> DataFrame:
+def reply_links(rows: DataFrame, block: int = BLOCK) -> DataFrame:
     """Content messages in order with their likeliest parent.
 
-    ``rows``: id, session_id, t, role, name, s0..s3 (one row per message). Adds seq (from 0 by t and
-    then id within the session), parent_id, parent_seq, parent_role and score; the parent is chosen
-    among the ``candidates`` messages before it on the same day and the session's active day before,
-    null where none scores enough. Ties go to the nearer message.
+    ``rows``: id, session_id, t, role, name, words (one row per message; without words nothing
+    overlaps). Adds seq (from 0 by t and then id within the session), parent_id, parent_seq,
+    parent_role and score; the parent is the best of all messages before it in the session, null
+    where none scores enough. Ties go to the nearer message.
     """
-    cols = ["session_id", "id", "t", "role", "name", *SIGNATURE]
-    base = rows.select(*cols, F.floor(F.col("t") / DAY_MS).alias("day"))
-    in_day = Window.partitionBy("session_id", "day").orderBy("t", "id")
-    days = base.groupBy("session_id", "day").agg(F.count("*").alias("n"))
-    by_day = Window.partitionBy("session_id").orderBy("day")
-    days = days.select(
-        F.col("session_id").alias("d_session"),
-        F.col("day").alias("d_day"),
-        "n",
-        F.coalesce(F.sum("n").over(by_day.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"),
-        F.lead("day").over(by_day).alias("next_day"),
-    )
-    numbered = (
-        base.withColumn("rn", F.row_number().over(in_day))
-        .join(days, F.col("session_id").eqNullSafe(F.col("d_session")) & (F.col("day") == F.col("d_day")))
-        .withColumn("seq", F.col("offset") + F.col("rn") - 1)
+    if "words" not in rows.columns:
+        rows = rows.withColumn("words", F.array().cast("array<bigint>"))
+    base = rows.select("session_id", "id", "t", "role", F.coalesce("name", F.lit(0).cast("bigint")).alias("name"), "words", F.floor(F.col("t") / DAY_MS).alias("day"))
+    numbered = scan(base, ["session_id"], "day", ["t", "id"], {"rn": ("row_number", ""), "prev": ("lag", "role")}).select(
+        "session_id", "id", "t", "role", "name", "words",
+        (F.col("rn") - 1).cast("bigint").alias("seq"),
+        F.coalesce((F.col("role") == "assistant") & (F.col("prev") == "user"), F.lit(False)).alias("direct"),
+        F.expr(f"(rn - 1) div {block}").alias("own"),
+    )
+    blocks = numbered.groupBy("session_id").agg(F.max("own").alias("last"))
+    wide = blocks.where(F.col("last") > 0).select(F.col("session_id").alias("w_session"), "last")
+    same = numbered.select("*", F.col("own").alias("child_block"), F.col("own").alias("parent_block"), F.lit(True).alias("is_child"), F.lit(True).alias("is_parent"))
+    earlier = numbered.where((F.col("own") > 0) & (~F.col("direct") | (F.col("seq") % block == 0))).select(
+        "*",
+        F.col("own").alias("child_block"),
+        F.explode(F.when(F.col("direct"), F.array(F.col("own") - 1)).otherwise(F.sequence(F.lit(0).cast("bigint"), F.col("own") - 1))).alias("parent_block"),
+        F.lit(True).alias("is_child"),
+        F.lit(False).alias("is_parent"),
     )
-    keep = [*cols, "seq", "day"]
-    carried = numbered.where((F.col("n") - F.col("rn") < candidates) & F.col("next_day").isNotNull()).select(
-        *cols, "seq", F.col("next_day").alias("day"), F.lit(True).alias("context")
+    later = numbered.join(wide, F.col("session_id") == F.col("w_session")).where(F.col("own") < F.col("last")).select(
+        *numbered.columns,
+        F.explode(F.sequence(F.col("own") + 1, "last")).alias("child_block"),
+        F.col("own").alias("parent_block"),
+        F.lit(False).alias("is_child"),
+        F.lit(True).alias("is_parent"),
     )
-    both = numbered.select(*keep, F.lit(False).alias("context")).unionByName(carried)
-    before = Window.partitionBy("session_id", "day").orderBy("seq").rowsBetween(-candidates, -1)
-    seen = F.collect_list(F.struct("id", "seq", "t", "role", "name", *SIGNATURE)).over(before)
-    child = {n: F.col(n) for n in cols}
-    ranked = F.transform("seen", lambda p: F.struct(_score(child, p, F.col("seq") - 1).alias("score"), p["seq"].alias("seq"), p["id"].alias("id"), p["role"].alias("role")))
-    best = F.array_max(ranked)
-    return (
-        both.withColumn("seen", seen)
-        .where(~F.col("context"))
-        .withColumn("best", F.when(F.size("seen") > 0, best))
-        .withColumn("best", F.when(F.col("best.score") >= LEAST_SCORE, F.col("best")))
-        .select(
-            "session_id", "seq", "id", "t", "role",
-            F.col("best.id").alias("parent_id"), F.col("best.seq").alias("parent_seq"), F.col("best.role").alias("parent_role"), F.col("best.score").alias("score"),
-        )
+    pairs = same.unionByName(earlier).unionByName(later)
+    key = ["session_id", "child_block", "parent_block"]
+    scored = pairs.repartition(*key).sortWithinPartitions(*key, "seq").mapInArrow(
+        _best_parents, "session_id string, seq bigint, id string, t bigint, role string, parent_id string, parent_seq bigint, parent_role string, score double"
     )
+    best = F.max(F.when(F.col("score") >= LEAST_SCORE, F.struct("score", "parent_seq", "parent_id", "parent_role")))
+    one = scored.groupBy("session_id", "seq", "id", "t", "role").agg(best.alias("best"))
+    return one.select("session_id", "seq", "id", "t", "role", "best.parent_id", "best.parent_seq", "best.parent_role", "best.score")
 
 
 def content_rows(all_rows: DataFrame) -> DataFrame:
