@@ -67,12 +67,12 @@ def test_trees_and_order_over_days(spark):
     assert {r["seq"]: r["tree_id"] for r in c.reply_trees(links).collect()} == {x: f"s#{root(x)}" for x in parent}
 
 
-LINKS = "session_id string, id string, t long, role string, name long, words array<long>"
+LINKS = "session_id string, id string, t long, role string, name long, words array<long>, mentions array<long>"
 
 
 def test_links_equal_brute_force(spark):
     rng = random.Random(3)
-    rows = [(f"s{i % 2}", f"i{i:03}", rng.randrange(9) * c.DAY_MS + rng.randrange(9) * 300_000, rng.choice(["user", "assistant"]), 900 + i % 3, sorted({rng.choice([*range(200), 900, 901]) for _ in range(rng.randrange(9))})) for i in range(160)]
+    rows = [(f"s{i % 2}", f"i{i:03}", rng.randrange(9) * c.DAY_MS + rng.randrange(9) * 300_000, rng.choice(["user", "assistant"]), 900 + i % 3, sorted({rng.choice([*range(200), 900, 901]) for _ in range(rng.randrange(9))}), rng.sample([900, 901], i % 5 == 0)) for i in range(160)]
     want = {}
     for sid in ("s0", "s1"):
         order = sorted((r for r in rows if r[0] == sid), key=lambda r: (r[2], r[1]))
@@ -80,7 +80,7 @@ def test_links_equal_brute_force(spark):
             best = None
             for j, p in enumerate(order[:k]):
                 score = 8.0 if j == k - 1 and (p[3], x[3]) == ("user", "assistant") else 0.0
-                score += (p[3] != x[3]) * 0.5 + 1 / (1 + np.log1p((x[2] - p[2]) / 60_000)) + (p[4] in x[5]) + len({*p[5]} & {*x[5]}) / max(1, min(len(p[5]), len(x[5])))
+                score += (p[3] != x[3]) * 0.5 + 1 / (1 + np.log1p((x[2] - p[2]) / 60_000)) + (p[4] in x[6]) + len({*p[5]} & {*x[5]}) / max(1, min(len(p[5]), len(x[5])))
                 best = max(best or (0, 0, None), (round(score, 9), j, p[1]))
             want[x[1]] = best and best[2]
     far = 0
@@ -91,6 +91,17 @@ def test_links_equal_brute_force(spark):
     assert far and len(want) == 160
 
 
+def test_words_and_mentions(spark):
+    long = " ".join(f"word{i}x" for i in range(3000))
+    texts = ["Ask Cairn-7B now", "cairn has 7b", "the cairn-7bs", long, long + " so, build it", "more words here"]
+    ps = [(f"p{i}", f"m{i}", "s", i, json.dumps({"type": "text", "text": t}), NOW) for i, t in enumerate(texts)]
+    ms = [(f"m{i}", "s", i, json.dumps({"role": "user", "agent": "Build"} if i % 2 else {"role": "user", "modelID": "cairn-7b"}), None, NOW, "x") for i in range(6)]
+    rows = {r["id"]: r for r in c.joined(spark.createDataFrame(ms, M), spark.createDataFrame(ps, P)).collect()}
+    build, cairn = rows["m1"]["name"], rows["m0"]["name"]
+    assert [rows[f"m{i}"]["mentions"] for i in range(6)] == [[cairn], [], [], [], [build], []]
+    assert not set(rows["m3"]["words"]) & set(rows["m5"]["words"]) and len(rows["m3"]["words"]) == 3000
+
+
 CALLS = "call_id string, tool string, parameters string, h1 string"
 
 

@@ -28,6 +28,8 @@ from threadloom.operators.store import epoch_ms, role_name
 DAY_MS = 86_400_000
 #: Messages of a session that are scored together.
 BLOCK = 8192
+#: Most agents and models that may speak; their names are held by every task.
+MAX_NAMES = 10_000
 #: Score of an assistant's message for the user's message directly before it: the host runs the
 #: assistant on the prompt just received, so this outweighs every sum of the other terms (< 4).
 DIRECT_ANSWER = 8.0
@@ -39,13 +41,34 @@ def _words(c: Column) -> Column:
     return F.split(F.lower(c), r"[^\p{L}\p{N}_]+")
 
 
-def part_content(parts: DataFrame) -> DataFrame:
-    """(message_id, session_id, content, words) per message named by the parts.
+def _phrase(c: Column) -> Column:
+    """The words of a text in their order, each between blanks."""
+    return F.concat(F.lit(" "), F.array_join(F.filter(_words(c), lambda w: w != ""), " "), F.lit(" "))
+
+
+def _speaker(v: Column) -> Column:
+    """The agent or model that speaks."""
+    return F.coalesce(F.try_variant_get(v, "$.agent", "string"), F.try_variant_get(v, "$.modelID", "string"))
+
+
+def speaker_names(messages: DataFrame) -> list[str]:
+    """Every name that speaks in the messages, as a phrase."""
+    v = F.when(F.substring(F.ltrim("data"), 1, 1) == "{", F.try_parse_json("data"))
+    names = messages.select(v.alias("v")).select(_speaker(F.col("v")).alias("name")).distinct()
+    rows = names.select(_phrase(F.col("name")).alias("name")).where(F.trim("name") != "").distinct().limit(MAX_NAMES + 1).collect()
+    if len(rows) > MAX_NAMES:
+        raise ValueError(f"more than {MAX_NAMES} agents and models speak")
+    return sorted(r["name"] for r in rows)
+
+
+def part_content(parts: DataFrame, names: list[str]) -> DataFrame:
+    """(message_id, session_id, content, words, mentions) per message named by the parts.
 
     content: some readable part is a tool part, or a text part that is neither ignored nor blank.
     Unreadable parts count as no content but still name their message; parts that name none are
     left out. Repeated rows change nothing. words: hashes of the distinct words
-    of three letters or more of the texts.
+    of three letters or more of the texts. mentions: hashes of those ``names`` (phrases) whose words
+    stand in a row in a text.
     """
     v = F.try_parse_json("data")
     read = parts.where(F.col("message_id").isNotNull()).select("message_id", "session_id", v.alias("v")).select(
@@ -56,10 +79,12 @@ def part_content(parts: DataFrame) -> DataFrame:
     )
     spoken = (F.col("type") == "text") & F.coalesce(F.col("text").rlike(r"(?U)\S"), F.lit(False))
     hashes = F.transform(F.array_distinct(F.filter(_words(F.col("text")), lambda w: F.length(w) > 2)), lambda w: F.xxhash64(w))
+    known = F.array(*map(F.lit, names)).cast("array<string>")
+    named = F.flatten(F.transform(F.array(_phrase(F.col("text"))), lambda t: F.transform(F.filter(known, lambda n: F.contains(t, n)), lambda n: F.xxhash64(n))))
     return (
-        read.select("message_id", "session_id", F.coalesce((F.col("type") == "tool") | spoken, F.lit(False)).alias("content"), F.when(spoken, hashes).alias("words"))
+        read.select("message_id", "session_id", F.coalesce((F.col("type") == "tool") | spoken, F.lit(False)).alias("content"), F.when(spoken, hashes).alias("words"), F.when(spoken, named).alias("mentions"))
         .groupBy("message_id", "session_id")
-        .agg(F.max("content").alias("content"), F.array_distinct(F.flatten(F.collect_list("words"))).alias("words"))
+        .agg(F.max("content").alias("content"), F.array_distinct(F.flatten(F.collect_list("words"))).alias("words"), F.array_distinct(F.flatten(F.collect_list("mentions"))).alias("mentions"))
     )
 
 
@@ -80,7 +105,7 @@ def message_heads(messages: DataFrame) -> DataFrame:
             "session_id",
             F.coalesce(epoch_ms("time_created"), F.lit(0)).alias("t"),
             role_name(F.try_variant_get("v", "$.role", "string")).alias("role"),
-            F.xxhash64(F.lower(F.coalesce(F.try_variant_get("v", "$.agent", "string"), F.try_variant_get("v", "$.modelID", "string")))).alias("name"),
+            F.xxhash64(_phrase(_speaker(F.col("v")))).alias("name"),
         ).alias("m"),
     )
     return one.groupBy("id").agg(F.max("removed").alias("removed"), F.max("m").alias("m")).select("id", "removed", "m.session_id", "m.t", "m.role", "m.name")
@@ -89,7 +114,7 @@ def message_heads(messages: DataFrame) -> DataFrame:
 def joined(messages: DataFrame, parts: DataFrame) -> DataFrame:
     """Messages with their content; parts whose message has no row keep a null id."""
     heads = message_heads(messages)
-    content = part_content(parts).withColumnRenamed("session_id", "part_session")
+    content = part_content(parts, speaker_names(messages)).withColumnRenamed("session_id", "part_session")
     return heads.join(content, F.col("id") == F.col("message_id"), "full").select(
         "id",
         F.coalesce("session_id", "part_session").alias("session_id"),
@@ -98,7 +123,7 @@ def joined(messages: DataFrame, parts: DataFrame) -> DataFrame:
         "role",
         "name",
         F.coalesce("content", F.lit(False)).alias("content"),
-        F.coalesce("words", F.array().cast("array<bigint>")).alias("words"),
+        *[F.coalesce(n, F.array().cast("array<bigint>")).alias(n) for n in ("words", "mentions")],
     )
 
 
@@ -141,6 +166,8 @@ def _score_groups(table: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
     words = listed.flatten().to_numpy()
     sizes = listed.value_lengths().to_numpy()
     upto = np.cumsum(sizes)
+    listed = table.column("mentions").combine_chunks()
+    mentions, mentioned = listed.flatten().to_numpy(), np.concatenate([[0], np.cumsum(listed.value_lengths().to_numpy())])
     best, scores = np.full(n, -1, np.int64), np.zeros(n)
     for a, b in zip(starts, [*starts[1:], n]):
         children = np.flatnonzero(is_child[a:b]) + a
@@ -167,7 +194,8 @@ def _score_groups(table: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
             s = np.full(q - p, DIRECT_ANSWER) if direct[c] else np.zeros(q - p)
             s += np.where(told[p:q] != told[c], 0.5, 0.0)
             s += 1.0 / (1.0 + np.log1p(np.maximum((t[c] - t[p:q]) / 60_000.0, 0.0)))
-            s += np.isin(name[p:q], words[said])
+            if mentioned[c] < mentioned[c + 1]:
+                s += np.isin(name[p:q], mentions[mentioned[c] : mentioned[c + 1]])
             if hits:
                 at = np.concatenate(hits)
                 common = np.bincount(at[(at >= p) & (at < q)] - p, minlength=q - p)
@@ -187,38 +215,32 @@ def _score_groups(table: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
 def reply_links(rows: DataFrame, block: int = BLOCK) -> DataFrame:
     """Content messages in order with their likeliest parent.
 
-    ``rows``: id, session_id, t, role, name, words (one row per message; without words nothing
-    overlaps). Adds seq (from 0 by t and then id within the session), parent_id, parent_seq,
+    ``rows``: id, session_id, t, role, name, words, mentions (one row per message; without words
+    nothing overlaps, without mentions nobody is named). Adds seq (from 0 by t and then id within the session), parent_id, parent_seq,
     parent_role and score; the parent is the best of all messages before it in the session, null
     where none scores enough. Ties go to the nearer message.
     """
-    if "words" not in rows.columns:
-        rows = rows.withColumn("words", F.array().cast("array<bigint>"))
-    base = rows.select("session_id", "id", "t", "role", F.coalesce("name", F.lit(0).cast("bigint")).alias("name"), "words", F.floor(F.col("t") / DAY_MS).alias("day"))
-    numbered = scan(base, ["session_id"], "day", ["t", "id"], {"rn": ("row_number", ""), "prev": ("lag", "role")}).select(
-        "session_id", "id", "t", "role", "name", "words",
+    rows = rows.withColumns({n: F.array().cast("array<bigint>") for n in ("words", "mentions") if n not in rows.columns})
+    base = rows.select("session_id", "id", "t", "role", F.coalesce("name", F.lit(0).cast("bigint")).alias("name"), "words", "mentions", F.floor(F.col("t") / DAY_MS).alias("day"))
+    numbered = scan(base, ["session_id"], "day", ["t", "id"], {"rn": ("row_number", ""), "prev": ("lag", "role"), "n": ("count_all", "")}).select(
+        "session_id", "id", "t", "role", "name", "words", "mentions",
         (F.col("rn") - 1).cast("bigint").alias("seq"),
         F.coalesce((F.col("role") == "assistant") & (F.col("prev") == "user"), F.lit(False)).alias("direct"),
         F.expr(f"(rn - 1) div {block}").alias("own"),
+        F.expr(f"(n - 1) div {block}").alias("last"),
     )
-    blocks = numbered.groupBy("session_id").agg(F.max("own").alias("last"))
-    wide = blocks.where(F.col("last") > 0).select(F.col("session_id").alias("w_session"), "last")
-    same = numbered.select("*", F.col("own").alias("child_block"), F.col("own").alias("parent_block"), F.lit(True).alias("is_child"), F.lit(True).alias("is_parent"))
-    earlier = numbered.where((F.col("own") > 0) & (~F.col("direct") | (F.col("seq") % block == 0))).select(
-        "*",
-        F.col("own").alias("child_block"),
-        F.explode(F.when(F.col("direct"), F.array(F.col("own") - 1)).otherwise(F.sequence(F.lit(0).cast("bigint"), F.col("own") - 1))).alias("parent_block"),
-        F.lit(True).alias("is_child"),
-        F.lit(False).alias("is_parent"),
-    )
-    later = numbered.join(wide, F.col("session_id") == F.col("w_session")).where(F.col("own") < F.col("last")).select(
-        *numbered.columns,
-        F.explode(F.sequence(F.col("own") + 1, "last")).alias("child_block"),
-        F.col("own").alias("parent_block"),
-        F.lit(False).alias("is_child"),
-        F.lit(True).alias("is_parent"),
+    def pair(child: Column, parent: Column, is_child: bool, is_parent: bool) -> Column:
+        return F.struct(child.alias("child_block"), parent.alias("parent_block"), F.lit(is_child).alias("is_child"), F.lit(is_parent).alias("is_parent"))
+
+    own, last, none = F.col("own"), F.col("last"), F.array().cast("array<bigint>")
+    up_to_own = F.when(own == 0, none).when(~F.col("direct"), F.sequence(F.lit(0).cast("bigint"), own - 1)).when(F.col("seq") % block == 0, F.array(own - 1)).otherwise(none)
+    after_own = F.when(own < last, F.sequence(own + 1, last)).otherwise(none)
+    places = F.concat(
+        F.array(pair(own, own, True, True)),
+        F.transform(up_to_own, lambda b: pair(own, b, True, False)),
+        F.transform(after_own, lambda b: pair(b, own, False, True)),
     )
-    pairs = same.unionByName(earlier).unionByName(later)
+    pairs = numbered.select("session_id", "id", "t", "role", "name", "words", "mentions", "seq", "direct", F.explode(places).alias("at")).select("*", "at.*").drop("at")
     key = ["session_id", "child_block", "parent_block"]
     scored = pairs.repartition(*key).sortWithinPartitions(*key, "seq").mapInArrow(
         _best_parents, "session_id string, seq bigint, id string, t bigint, role string, parent_id string, parent_seq bigint, parent_role string, score double"

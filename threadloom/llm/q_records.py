@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from threadloom.durable import cut
 from threadloom.llm import conversations, duplicates, pii, secrets
 from threadloom.llm.registry import SQL, query
 from threadloom.sources.tables import load
@@ -20,7 +21,7 @@ def p2_found(spark, d):
 def p2_threads(spark, d):
     """Reply trees of all sessions with their size, over every content message."""
     every = conversations.joined(load(spark, d, "messages"), load(spark, d, "parts")).where(F.col("session_id").isNotNull())
-    links = conversations.reply_links(conversations.content_rows(every))
+    links = cut(conversations.reply_links(conversations.content_rows(every)), "links")
     return (
         conversations.reply_trees(links)
         .groupBy("session_id", "tree_id")
