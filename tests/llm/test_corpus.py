@@ -90,6 +90,21 @@ def test_mix(spark):
     assert mixing.mix(df.limit(0), targets)[0].count() == 0 and mixing.mix(df, targets.limit(0))[0].count() == 0
 
 
+@pytest.mark.skipif(not Path(mixing.TOKENIZER_FOLDER).exists(), reason="no tokenizer files")
+def test_mix_holds_the_tokens(spark):
+    docs = [(i, f"Speech {i} of the day, " * (i % 30), "one" if i % 3 else "two") for i in range(120)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    targets = spark.createDataFrame([("one", 0.5, 1), ("two", 0.5, 3)], "source string, target_share double, max_repeats int")
+    ids = {r["doc_id"]: r["tokens"] for r in mixing.token_ids(df).collect()}
+    mixed, blocks = mixing.mix(df, targets, block_tokens=16, shard_slots=8)
+    assert "tokens" in mixed.columns and mixed.count()
+    for r in [*mixed.collect(), *blocks.collect()]:
+        assert r["tokens"] == [x for p in r["pieces"] for x in ids[p["doc_id"]][p["from_token"] : p["to_token"]]] and len(r["tokens"]) == r["n_tokens"]
+    assert sum(len(r["tokens"]) for r in blocks.collect()) == sum(map(len, ids.values()))
+    last = {r["source"]: r["b"] for r in blocks.groupBy("source").agg({"block": "max"}).toDF("source", "b").collect()}
+    assert all(len(r["tokens"]) == 16 for r in mixed.collect() if r["block"] < last[r["source"]])
+
+
 SPEECH = ["The committee has reviewed the new tariff, because a deadline was missed.", "Of the 40 letters I received, most say that the treasury delayed the seed bank.", "I call the next speaker on the list.", "The ministry tells pensioners to enable JavaScript, as if that were a policy.", "The form asks for {date} in curly brackets, a farmer told me.", "The portal answered error 503, said the auditor of the house."]
 RESIDUE = ["Please enable JavaScript to read this page.", "404 Not Found.", "As {{ speaker }} told this house, we agree.", "Lorem ipsum dolor sit amet magna aliqua.", "TBD.", "xxxx xxx xxxxx xx.", "[INSERT PARTY].", "Connection timed out.", "Access denied."]
 

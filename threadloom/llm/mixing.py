@@ -1,7 +1,7 @@
 """Mixing sources to target weights, measured in tokens of a public tokenizer.
 
-The tokens of each source are packed, in an order drawn by hash, into blocks of ``BLOCK_TOKENS``. The
-mix is a row of output shards of ``SHARD_SLOTS`` slots; the slots of a shard are given to sources by one
+The tokens of each source are packed, in an order drawn by hash, into blocks of ``BLOCK_TOKENS`` that
+hold the token ids themselves. The mix is a row of output shards of ``SHARD_SLOTS`` slots; the slots of a shard are given to sources by one
 multinomial draw. The i-th slot of a source takes block perm(i mod n) in the (i div n)-th pass over
 its n blocks, with one pseudorandom permutation per source and pass, and slots are joined with
 blocks by (source, block).
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import os
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +32,8 @@ PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 BLOCK_TOKENS = 512
 SHARD_SLOTS = 256
 BUCKET_DOCS = 20_000
+#: Documents whose tokens are held at once.
+BATCH_DOCS = 512
 MAX_SOURCES = 10_000
 
 
@@ -40,8 +43,8 @@ def source_name(c: str | Column) -> Column:
     return F.regexp_replace(F.lower(F.regexp_replace(c, r"(?U)^\s+|\s+$", "")), r"(?U)[\s_-]+", "_")
 
 
-def token_counts(documents: DataFrame, folder: str = TOKENIZER_FOLDER, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(doc_id, source, n_tokens) of every document with a source and at least one token.
+def token_ids(documents: DataFrame, folder: str = TOKENIZER_FOLDER, vocabulary: str = VOCABULARY) -> DataFrame:
+    """(doc_id, source, n_tokens, tokens) of every document with a source and at least one token.
 
     The vocabulary (50,256 entries, about 1 MB) is read on the driver and broadcast.
     """
@@ -53,14 +56,25 @@ def token_counts(documents: DataFrame, folder: str = TOKENIZER_FOLDER, vocabular
         import tiktoken
 
         coder = tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=held.value, special_tokens={})
-        for batch in batches:
-            sizes = [len(coder.encode_ordinary(t)) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64())], names=["doc_id", "source", "n_tokens"])
+        for whole in batches:
+            for start in range(0, whole.num_rows, BATCH_DOCS):
+                batch = whole.slice(start, BATCH_DOCS)
+                ids, ends = array("i"), [0]
+                for text in batch.column(2):
+                    ids.extend(coder.encode_ordinary(text.as_py()))
+                    ends.append(len(ids))
+                tokens = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(ids, np.int32)))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(ends), pa.int64()), tokens], names=["doc_id", "source", "n_tokens", "tokens"])
 
     src = documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (F.col("text") != "")).select(
         F.col("doc_id").cast("bigint").alias("doc_id"), source_name("source").alias("source"), "text"
     )
-    return spread(src.where(F.col("source") != "")).mapInArrow(run, "doc_id bigint, source string, n_tokens bigint").where(F.col("n_tokens") > 0)
+    return spread(src.where(F.col("source") != "")).mapInArrow(run, "doc_id bigint, source string, n_tokens bigint, tokens array<int>").where(F.col("n_tokens") > 0)
+
+
+def token_counts(documents: DataFrame, folder: str = TOKENIZER_FOLDER, vocabulary: str = VOCABULARY) -> DataFrame:
+    """(doc_id, source, n_tokens) of every document with a source and at least one token."""
+    return token_ids(documents, folder, vocabulary).select("doc_id", "source", "n_tokens")
 
 
 def read_targets(targets: DataFrame) -> dict[str, tuple[float, int]]:
@@ -84,29 +98,30 @@ def read_targets(targets: DataFrame) -> dict[str, tuple[float, int]]:
 
 
 def pack(counts: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """(source, block, n_tokens, pieces) with pieces array<struct<doc_id, from_token, to_token>>.
+    """(source, block, n_tokens, pieces, tokens) with pieces array<struct<doc_id, from_token, to_token>>.
 
     Documents of a source follow one another by hash bucket and hash; blocks are cut from their
     tokens without gaps, so only the last block of a source may be short. Pieces run from from_token
-    up to but not including to_token.
+    up to but not including to_token. tokens: the ids of the block's tokens, piece after piece.
     """
     buckets = max(1, counts.count() // BUCKET_DOCS)
     h = F.xxhash64("doc_id")
-    rows = counts.select("doc_id", "source", "n_tokens", h.alias("h"), F.pmod(h, F.lit(buckets)).alias("bucket"))
+    rows = counts.select("doc_id", "source", "n_tokens", "tokens", h.alias("h"), F.pmod(h, F.lit(buckets)).alias("bucket"))
     sums = rows.groupBy("source", "bucket").agg(F.sum("n_tokens").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = sums.select("source", "bucket", before.alias("bucket_start"))
     inside = F.sum("n_tokens").over(Window.partitionBy("source", "bucket").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
     placed = rows.withColumn("upto", inside).join(starts, ["source", "bucket"]).select(
-        "source", "doc_id", (F.col("bucket_start") + F.col("upto") - F.col("n_tokens")).alias("a"), (F.col("bucket_start") + F.col("upto")).alias("b")
+        "source", "doc_id", "tokens", (F.col("bucket_start") + F.col("upto") - F.col("n_tokens")).alias("a"), (F.col("bucket_start") + F.col("upto")).alias("b")
     )
     size = F.lit(block_tokens).cast("bigint")
     first, last = F.expr(f"a div {block_tokens}"), F.expr(f"(b - 1) div {block_tokens}")
-    cuts = placed.select("source", "doc_id", "a", "b", F.explode(F.sequence(first, last)).alias("block"))
+    cuts = placed.select("source", "doc_id", "tokens", "a", "b", F.explode(F.sequence(first, last)).alias("block"))
     lo, hi = F.greatest("a", F.col("block") * size), F.least("b", (F.col("block") + 1) * size)
-    pieces = cuts.select("source", "block", F.struct(lo.alias("at"), "doc_id", (lo - F.col("a")).alias("from_token"), (hi - F.col("a")).alias("to_token")).alias("p"))
+    pieces = cuts.select("source", "block", F.struct(lo.alias("at"), "doc_id", (lo - F.col("a")).alias("from_token"), (hi - F.col("a")).alias("to_token"), F.slice("tokens", (lo - F.col("a") + 1).cast("int"), (hi - lo).cast("int")).alias("tokens")).alias("p"))
     return pieces.groupBy("source", "block").agg(F.sum(F.col("p.to_token") - F.col("p.from_token")).alias("n_tokens"), F.sort_array(F.collect_list("p")).alias("p")).select(
-        "source", "block", "n_tokens", F.transform("p", lambda x: F.struct(x["doc_id"].alias("doc_id"), x["from_token"].alias("from_token"), x["to_token"].alias("to_token"))).alias("pieces")
+        "source", "block", "n_tokens", F.transform("p", lambda x: F.struct(x["doc_id"].alias("doc_id"), x["from_token"].alias("from_token"), x["to_token"].alias("to_token"))).alias("pieces"),
+        F.flatten(F.transform("p", lambda x: x["tokens"])).alias("tokens"),
     )
 
 
@@ -167,14 +182,14 @@ def permuted(index: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
 
 
 def mix(documents: DataFrame, targets: DataFrame, folder: str = TOKENIZER_FOLDER, block_tokens: int = BLOCK_TOKENS, shard_slots: int = SHARD_SLOTS, seed: int = 1) -> tuple[DataFrame, DataFrame]:
-    """(mix, blocks). mix: shard, slot, source, block, pass_no, n_tokens, pieces; one row per slot.
+    """(mix, blocks). mix: shard, slot, source, block, pass_no, n_tokens, pieces, tokens; one row per slot.
 
     Sources without documents get no slots and the shares of the rest are scaled up to 1. Without any
     usable target the mix is empty.
     """
     spark = documents.sparkSession
     wanted = read_targets(targets)
-    counts = cut(token_counts(documents, folder), "token-counts")
+    counts = cut(token_ids(documents, folder), "token-ids")
     blocks = cut(pack(counts.where(F.col("source").isin(list(wanted))) if wanted else counts.limit(0), block_tokens), "token-blocks")
     n_blocks = {r["source"]: r["n"] for r in blocks.groupBy("source").agg(F.count("*").alias("n")).collect()}
     names, drawn = plan_slots(n_blocks, wanted, shard_slots, seed)

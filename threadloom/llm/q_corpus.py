@@ -25,7 +25,7 @@ def p8_items(spark, d):
 @query
 def p9_mix(spark, d):
     mixed, _ = mixing.mix(load(spark, d, "documents"), load(spark, d, "mix_targets"))
-    return mixed.select("shard", "slot", "source", "block", "pass_no", "n_tokens", "pieces")
+    return mixed.select("shard", "slot", "source", "block", "pass_no", "n_tokens", "pieces", "tokens")
 
 
 @query
