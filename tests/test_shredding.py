@@ -1,7 +1,12 @@
 import json
 from datetime import datetime as dt
+from pathlib import Path
+
+import pytest
+from pyspark.sql.functions import countDistinct
 
 from threadloom.operators import shredding as s
+from threadloom.plans import general
 
 SCHEMA = "record_id long, exported_at timestamp_ntz, payload string, node_id string"
 
@@ -44,3 +49,29 @@ def test_entity_table(spark):
     part = s.entity_table(nodes, "parts", ["type", "tool"]).collect()
     assert [(p["f_type"], p["f_tool"]) for p in part] == [("tool", "t")]
     assert s.entity_table(nodes.limit(0), "parts", ["type"]).count() == 0
+
+
+def test_every_scalar_reaches_a_table(spark):
+    part = {"id": "p", "state": {"time": {"start": 1}, "output": [{"n": True, "tags": ["a", {"x": None}]}, {}]}, "a.b": 2, "ID": "q"}
+    df = spark.createDataFrame([(1, dt(2025, 1, 1), record([part]), "x")], SCHEMA)
+    nodes = s.shred(s.counting_records(df))
+    rows = {r["json_path"]: r for r in s.flat_rows(nodes).collect()}
+    assert {p: r["members"] for p, r in rows.items()} == {
+        "info": {"id": "m"}, "parts[0]": {"id": "p", "state.time.start": "1", '"a.b"': "2", "ID": "q"}, "parts[0].state.output[0]": {"n": "true", "tags[0]": "a"},
+        "parts[0].state.output[0].tags[1]": {"x": None}, "parts[0].state.output[1]": {},
+    }
+    assert rows["parts[0].state.output[1]"]["owner_id"] == rows["parts[0]"]["node_id"]
+    assert rows["parts[0].state.output[0].tags[1]"]["owner_id"] == rows["parts[0].state.output[0]"]["node_id"]
+    wide = s.entity_table(nodes, "parts")
+    assert sorted(wide.columns[5:]) == ['f_"a.b"', "f_ID", "f_id#2", "f_state.time.start"]
+    assert [r["f_state.time.start"] for r in wide.collect()] == ["1"]
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.01").exists(), reason="no test tables")
+def test_entities_of_the_data_have_tables(spark):
+    queries = general.QUERIES
+    held = queries["p3_members"](spark, "/root/testdata/sf0.01").cache()
+    objects = {r["entity"]: r["n"] for r in held.groupBy("entity").agg(countDistinct("message_id", "node_id").alias("n")).collect()}
+    for name, entity in [*general.ENTITIES.items(), ("p3_messages", "info")]:
+        assert queries[name](spark, "/root/testdata/sf0.01").count() == objects.pop(entity)
+    assert not objects

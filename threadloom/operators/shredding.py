@@ -22,8 +22,10 @@ INPUT_LISTS = ("todos", "questions", "tool_calls", "content")
 
 NODE_SCHEMA = (
     "message_id string, node_id bigint, parent_id bigint, label string, ordinal bigint, kind string, scalar string, "
-    "json_path string, entity string, in_list boolean"
+    "json_path string, entity string, in_list boolean, holder_id bigint, member string"
 )
+#: Most member names that one entity may have as a wide table; ``flat_rows`` has no such bound.
+MAX_LABELS = 5_000
 
 
 def _reject(name: str):
@@ -56,27 +58,38 @@ def _as_list(entity: str, label: str, value):
     return value
 
 
+def _step(key: str) -> str:
+    """One step of a member path; keys that would read as several steps are quoted."""
+    return json.dumps(key) if not key or any(x in key for x in '.[]"') else key
+
+
 def shred_record(message_id: str, record: dict) -> Iterator[tuple]:
-    """Adjacency rows of one {info, parts} record in document order; node 0 is the record."""
+    """Adjacency rows of one {info, parts} record in document order; node 0 is the record.
+
+    holder_id: the nearest object above a node that has a row of its own in the flat tables (an
+    element of a list, ``info`` or the record); member: the path from there to the node.
+    """
     parts = record.get("parts")
     root = {"info": record.get("info"), "parts": [parts] if isinstance(parts, dict) else parts}
     count = 0
-    # entries: value, parent id, label, ordinal, path, entity, whether an element of a list
-    stack = [(root, None, None, 0, "", "", False)]
+    # entries: value, parent id, label, ordinal, path, entity, whether an element of a list, holder, member
+    stack = [(root, None, None, 0, "", "", False, None, "")]
     while stack:
-        value, parent, label, ordinal, path, entity, in_list = stack.pop()
+        value, parent, label, ordinal, path, entity, in_list, holder, member = stack.pop()
         node, count = count, count + 1
         if isinstance(value, dict):
-            yield message_id, node, parent, label, ordinal, "object", None, path, entity, in_list
+            yield message_id, node, parent, label, ordinal, "object", None, path, entity, in_list, holder, member
+            if in_list or not path or (path == "info" and parent == 0):
+                holder, member = node, ""
             items = [
-                (_as_list(entity, k, v), node, k, i, f"{path}.{k}" if path else k, f"{entity}.{k}" if entity else k, False)
+                (_as_list(entity, k, v), node, k, i, f"{path}.{k}" if path else k, f"{entity}.{k}" if entity else k, False, holder, f"{member}.{_step(k)}" if member else _step(k))
                 for i, (k, v) in enumerate(value.items())
             ]
         elif isinstance(value, list):
-            yield message_id, node, parent, label, ordinal, "list", None, path, entity, in_list
-            items = [(v, node, label, i, f"{path}[{i}]", entity, True) for i, v in enumerate(value)]
+            yield message_id, node, parent, label, ordinal, "list", None, path, entity, in_list, holder, member
+            items = [(v, node, label, i, f"{path}[{i}]", entity, True, holder, f"{member}[{i}]") for i, v in enumerate(value)]
         else:
-            yield message_id, node, parent, label, ordinal, "scalar", _scalar(value), path, entity, in_list
+            yield message_id, node, parent, label, ordinal, "scalar", _scalar(value), path, entity, in_list, holder, member
             items = []
         stack.extend(reversed(items))
 
@@ -116,6 +129,7 @@ def shred(records: DataFrame) -> DataFrame:
         schema = pa.schema([
             ("message_id", pa.string()), ("node_id", pa.int64()), ("parent_id", pa.int64()), ("label", pa.string()), ("ordinal", pa.int64()),
             ("kind", pa.string()), ("scalar", pa.string()), ("json_path", pa.string()), ("entity", pa.string()), ("in_list", pa.bool_()),
+            ("holder_id", pa.int64()), ("member", pa.string()),
         ])
         for batch in batches:
             rows: list[tuple] = []
@@ -134,32 +148,47 @@ def shred(records: DataFrame) -> DataFrame:
     return records.select("message_id", "payload").mapInArrow(run, NODE_SCHEMA)
 
 
+def flat_rows(nodes: DataFrame) -> DataFrame:
+    """Object nodes joined with their scalar children: one row per object that is an element of a list, and per ``info``.
+
+    Columns: message_id, entity, node_id, owner_id (the row that encloses it; 0 is the record, which
+    message_id names), ordinal, json_path, in_list, members (map from path to text). The scalars of
+    nested objects and lists that have no rows of their own belong to the row around them. JSON
+    numbers and booleans keep their JSON spelling. The join is one aggregation over both sides, which
+    share their key; objects without scalars stay.
+    """
+    is_object = (F.col("kind") == "object") & (F.col("in_list") | ((F.col("entity") == "info") & (F.col("parent_id") == 0)))
+    sides = nodes.where(is_object | ((F.col("kind") == "scalar") & F.col("holder_id").isNotNull())).select(
+        "message_id",
+        F.when(is_object, F.col("node_id")).otherwise(F.col("holder_id")).alias("node_id"),
+        F.when(is_object, F.struct("entity", F.col("holder_id").alias("owner_id"), "ordinal", "json_path", "in_list")).alias("o"),
+        F.when(~is_object, F.struct("member", "scalar")).alias("m"),
+    )
+    both = sides.groupBy("message_id", "node_id").agg(F.max("o").alias("o"), F.map_from_entries(F.collect_list("m")).alias("members"))
+    return both.where(F.col("o").isNotNull()).select("message_id", "o.entity", "node_id", "o.owner_id", "o.ordinal", "o.json_path", "o.in_list", "members")
+
+
 def list_objects(nodes: DataFrame) -> DataFrame:
-    """The object nodes that are elements of a list below ``parts``."""
-    return nodes.where((F.col("kind") == "object") & F.col("in_list") & F.col("entity").startswith("parts"))
+    """The rows of ``flat_rows`` that are elements of a list below ``parts``."""
+    return flat_rows(nodes).where(F.col("in_list") & F.col("entity").startswith("parts"))
 
 
-def entity_table(nodes: DataFrame, entity: str, labels: list[str], is_list: bool = True) -> DataFrame:
+def entity_table(nodes: DataFrame, entity: str, labels: list[str] | None = None, is_list: bool = True) -> DataFrame:
     """Flat table of the objects of one entity: their scalar members, one column per label.
 
-    Object nodes are joined with their scalar children and pivoted on the fixed label list. Columns:
-    message_id, node_id, owner_id (nearest enclosing object, for lists the owner of the list),
-    ordinal, json_path, then the labels (null where absent). Scalars are text; JSON numbers and
-    booleans keep their JSON spelling. Labels are prefixed by ``f_`` so that none can clash.
+    Without ``labels`` they are the members that the data has. Columns: message_id, node_id, owner_id,
+    ordinal and json_path as in ``flat_rows``, then the labels (null where absent), prefixed by ``f_``
+    so that none can clash; of labels that differ in letter case only, later ones get ``#2`` and so on.
     """
-    objects = nodes.where((F.col("kind") == "object") & (F.col("entity") == entity) & (F.col("in_list") == is_list))
-    lists = nodes.where((F.col("kind") == "list") & (F.col("entity") == entity)).select(
-        "message_id", F.col("node_id").alias("parent_id"), F.col("parent_id").alias("owner_id")
-    )
-    objects = objects.select("message_id", "node_id", "parent_id", "ordinal", "json_path")
-    if is_list:
-        owned = objects.join(lists, ["message_id", "parent_id"], "left").drop("parent_id")
-    else:
-        owned = objects.withColumnRenamed("parent_id", "owner_id")
-    members = nodes.where((F.col("kind") == "scalar") & F.col("label").isin(labels) & F.col("entity").isin([f"{entity}.{x}" if entity else x for x in labels])).select(
-        "message_id", F.col("parent_id").alias("node_id"), "label", "scalar"
-    )
-    wide = members.groupBy("message_id", "node_id").pivot("label", labels).agg(F.first("scalar"))
-    return owned.join(wide, ["message_id", "node_id"], "left").select(
-        "message_id", "node_id", "owner_id", "ordinal", "json_path", *[F.col(f"`{x}`").alias(f"f_{x}") for x in labels]
-    )
+    rows = flat_rows(nodes).where((F.col("entity") == entity) & (F.col("in_list") == is_list))
+    if labels is None:
+        found = rows.select(F.explode(F.map_keys("members")).alias("k")).distinct().limit(MAX_LABELS + 1).collect()
+        if len(found) > MAX_LABELS:
+            raise ValueError(f"more than {MAX_LABELS} members in {entity}")
+        labels = sorted(r["k"] for r in found)
+    seen: dict[str, int] = {}
+    columns = []
+    for x in labels:
+        seen[x.lower()] = n = seen.get(x.lower(), 0) + 1
+        columns.append(F.try_element_at("members", F.lit(x)).alias(f"f_{x}" if n == 1 else f"f_{x}#{n}"))
+    return rows.select("message_id", "node_id", "owner_id", "ordinal", "json_path", *columns)

@@ -51,18 +51,31 @@ def p3_entities(spark, d):
 
 
 @query
-def p3_messages(spark, d):
-    return shredding.entity_table(_nodes(spark, d), "info", ["id", "sessionID", "role", "agent", "providerID", "modelID"], False)
-
-
-@query
-def p3_parts(spark, d):
-    return shredding.entity_table(_nodes(spark, d), "parts", ["id", "type", "tool", "callID", "text"])
-
-
-@query
-def p3_todos(spark, d):
-    return shredding.entity_table(_nodes(spark, d), "parts.state.input.todos", ["id", "content", "status"])
+def p3_members(spark, d):
+    """Every scalar of every flat row, whatever its entity; rows without scalars have one with a null label."""
+    return shredding.flat_rows(_nodes(spark, d)).select("message_id", "entity", "node_id", "owner_id", "ordinal", "json_path", F.explode_outer("members").alias("label", "scalar"))
+
+
+def _entity(entity: str, is_list: bool = True) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, d: shredding.entity_table(cut(_nodes(spark, d), "shredded"), entity, None, is_list)
+
+
+#: The wide tables; entities that are not named here are in p3_members.
+ENTITIES = {
+    "p3_parts": "parts",
+    "p3_todos": "parts.state.input.todos",
+    "p3_questions": "parts.state.input.questions",
+    "p3_options": "parts.state.input.questions.options",
+    "p3_tool_calls": "parts.state.input.tool_calls",
+    "p3_edits": "parts.state.input.tool_calls.parameters.edits",
+    "p3_content": "parts.state.input.content",
+    "p3_output": "parts.state.output",
+    "p3_mentions": "parts.metadata.mentions",
+    "p3_files": "parts.state.metadata.files",
+    "p3_hunks": "parts.state.metadata.files.hunks",
+}
+QUERIES["p3_messages"] = _entity("info", False)
+QUERIES.update({name: _entity(entity) for name, entity in ENTITIES.items()})
 
 
 # ---- p4: hierarchies ---------------------------------------------------------------------------
