@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import DataFrame, Window
@@ -13,7 +14,7 @@ from threadloom.operators import compress as cx
 from threadloom.operators.hierarchy import resolve_hierarchy
 from threadloom.operators.scan import scan
 from threadloom.operators.store import latest_states
-from threadloom.plans import views
+from threadloom.plans import analytics, views
 from threadloom.plans.analytics import _message_tokens
 from threadloom.plans.views import CTE
 from threadloom.sources.tables import load
@@ -23,6 +24,7 @@ SQL: dict[str, str] = {}
 
 #: Cell width of the progress display; bucket of message places for range joins.
 WIDTH, BUCKET = 20, 64
+INPUT_REMOVED = "[input removed due to failed tool call]"
 PATTERNS = ["src/auth/**", "**/*.env", "tests/*/*.p?"]
 RULES = [("*", "allow"), ("web*", "ask"), ("bash", "deny"), ("ba*", "ask"), ("todo *", "deny"), ("?rep", "deny")]
 
@@ -189,6 +191,54 @@ select r.session_id, block_id, count(*) as n_messages, sum(tokens)::bigint as to
 )
 
 
+@query
+def range_texts(spark, d):
+    """The text of each block's range: its text parts in order, a blank line between two (P26)."""
+    cells = _ranges(spark, d).withColumn("cell", F.explode(F.sequence(F.floor((F.col("lo") - 1) / BUCKET), F.floor((F.col("hi") - 1) / BUCKET))))
+    m = views.messages(spark, d).select("session_id", "id", "seq", F.floor(F.col("seq") / BUCKET).alias("cell"))
+    hit = cells.join(m, ["session_id", "cell"]).where(F.col("seq").between(F.col("lo") - 1, F.col("hi") - 1))
+    p = views.parts(spark, d).where((F.col("type") == "text") & F.col("text").isNotNull()).select("message_id", F.coalesce("pt", F.lit(0)).alias("pt"), F.col("id").alias("part_id"), "text")
+    said = hit.join(p, hit["id"] == p["message_id"]).groupBy("session_id", "block_id").agg(F.sort_array(F.collect_list(F.struct("seq", "pt", "part_id", "text"))).alias("x"))
+    return said.select("session_id", "block_id", F.array_join("x.text", "\n\n").alias("text"))
+
+
+_sql(
+    "range_texts",
+    f"""{_RANGES} select r.session_id, block_id, string_agg(p.text, chr(10) || chr(10) order by seq, coalesce(pt, 0), p.id) as text
+from ranges r join m on m.session_id = r.session_id and seq between lo - 1 and hi - 1 join p on p.message_id = m.id and p.type = 'text' and p.text is not null group by all""",
+)
+
+
+@query
+def priority_ref_lists(spark, d):
+    """Per session and priority: the references before the last user message, in order (W17)."""
+    t = _message_tokens(spark, d).select("session_id", "id", "seq", "role", fx.priority(F.col("tokens")).alias("priority"))
+    last = t.where(F.col("role") == "user").groupBy("session_id").agg(F.max("seq").alias("anchor"))
+    refs = message_refs(spark, d).where(F.col("ref").isNotNull()).select("session_id", "id", "ref")
+    before = t.join(last, "session_id").where(F.col("seq") < F.col("anchor")).join(refs, ["session_id", "id"])
+    return before.groupBy("session_id", "priority").agg(F.sort_array(F.collect_list(F.struct("seq", "ref"))).alias("x")).select("session_id", "priority", F.col("x.ref").alias("refs"))
+
+
+@query
+def prune_error_inputs(spark, d):
+    """The inputs of purged failed calls with every top-level text replaced (P15)."""
+    gone = analytics.QUERIES["purge_errors"](spark, d).select("call_id")
+    c = views.calls(spark, d).select("call_id", "parameters").join(gone, "call_id", "left_semi").where(F.try_parse_json("parameters").isNotNull())
+    notice = F.parse_json(F.lit(json.dumps(INPUT_REMOVED)))
+    swap = lambda v: F.when(F.schema_of_variant(v) == "STRING", notice).otherwise(v)
+    members = F.transform_values(F.from_json("parameters", "map<string,variant>"), lambda k, v: swap(v))
+    items = F.transform(F.from_json("parameters", "array<variant>"), swap)
+    opening = F.substring(F.ltrim("parameters"), 1, 1)
+    return c.select("call_id", F.when(opening == "{", F.to_json(members)).when(opening == "[", F.to_json(items)).otherwise(F.col("parameters")).alias("parameters"))
+
+
+@query
+def clean_outputs(spark, d):
+    """Outputs of completed calls without injected reference tags, as strip_tags has the texts (P20)."""
+    p = views.parts(spark, d).where((F.col("type") == "tool") & (F.col("status") == "completed") & F.col("output").isNotNull())
+    return p.select("id", fx.strip_tags(F.col("output")).alias("output"))
+
+
 @query
 def range_overlap(spark, d):
     """Ranges that begin before the one before them in (start, end, id) order ends."""
