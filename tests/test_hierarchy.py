@@ -1,7 +1,14 @@
 import random
+import sys
+from pathlib import Path
+
+import pytest
 
 from threadloom.operators import hierarchy as h
 
+sys.path.insert(0, str(Path(__file__).parent))
+import test_entry  # noqa: E402
+
 SCHEMA = "node string, parent string"
 
 
@@ -50,3 +57,8 @@ def test_descendants(spark):
     tree = h.resolve_hierarchy(spark.createDataFrame([("r", None), ("a", "r"), ("b", "a"), ("x", "y"), ("y", "x")], SCHEMA))
     got = {r["node"]: (r["n_children"], r["n_descendants"], r["height"]) for r in h.descendant_counts(tree).collect()}
     assert got == {"r": (1, 2, 2), "a": (1, 1, 1), "b": (0, 0, 0)}
+
+
+@pytest.mark.skipif(not test_entry.DATA.exists(), reason="no test tables")
+def test_pairs_equal_sql(spark):
+    test_entry.test_query_equals_sql(spark, "p4_pairs")

@@ -96,8 +96,15 @@ def p4_found(spark, d):
     )
 
 
+@query
+def p4_pairs(spark, d):
+    """Every session with each of its descendants and the distance between the two."""
+    return hierarchy.descendants(_tree(spark, d)).select("ancestor", "descendant", F.col("distance").cast("bigint").alias("distance"))
+
+
 @query
 def p4_descendants(spark, d):
+    """How many children and descendants each session has; p4_pairs names them."""
     return hierarchy.descendant_counts(_tree(spark, d))
 
 
@@ -132,6 +139,12 @@ select id as node, (len(path) - 1)::bigint as depth, coalesce(c, 0)::bigint as n
        coalesce(n, 0)::bigint as n_descendants, coalesce(h, 0)::bigint as height
 from ended left join counts on a = id where not cyc
 """
+SQL["p4_pairs"] = f"""
+with recursive {_LATEST},
+pairs as (
+  select id, path, unnest(range(1, len(path))) as i from ended where not cyc)
+select path[i] as ancestor, id as descendant, (len(path) - i)::bigint as distance from pairs
+"""
 
 # ---- p7: references to records that do not exist ----------------------------------------------
 
