@@ -1,3 +1,4 @@
+import random
 import json
 
 from threadloom.llm import pii
@@ -49,3 +50,13 @@ def test_parts_and_empty(spark):
 def test_two_keys(spark):
     _, out = run(spark, ['{"firstName":"Anna","lastName":"Falk","n":1}'])
     assert out["p0"] == '{"firstName":"[NAME]","lastName":"[NAME]","n":1}'
+
+
+def test_prefilters_cover_their_patterns():
+    rng = random.Random(4)
+    bits = ["Bahnhof", "str.", "Straße", "straße", "weg", " ", " ", "\t", "5", "12", "1234", "bis", "ter", ",", "rue", "de la", "Paix", "Main", "Street", "A1B2", "C3D4", "AB", "(", "-", ".", "Frau", "Dr", "Xyz", "\n", "N"]
+    texts = ["Bahnhofstr. 5", "12bis rue de la Paix", "A1B2C3D4", "1234ABC", "Frau Xyz", *("".join(rng.choices(bits, k=rng.randrange(2, 9))) for _ in range(40_000))]
+    for has, patterns in ((pii._HAS_STREET, (pii._ADDRESS_EN, pii._ADDRESS_DE, pii._ADDRESS_FR, pii._ADDRESS_ANY)), (pii._HAS_NUMBER, (pii._NUMBER,)), (pii._HAS_TITLE, (pii._TITLED,))):
+        for x in texts:
+            assert has.search(x) or not any(p.search(x) for p in patterns), x
+    assert {w for m in pii._LOWER_WORD.finditer('ask "anna schmidt", or x-anna-lena') for w in (m[0], m[1])} >= {"anna", "schmidt"}

@@ -70,10 +70,13 @@ _CAP = r"[^\W\d_a-zß-öø-ÿ]"
 _TAIL = r"[^\W\d_'’]*(?:[-'’][^\W\d_]{2,})*"
 _NAME = re.compile(rf"(?<![\w@./\\-])(?:(?P<title>{_TITLE})[ \t]+)?(?P<a>{_CAP}\.|{_CAP}{_TAIL})[ \t\u00a0](?:{_CAP}\.[ \t])?(?P<b>{_CAP}{_TAIL})(?![\w@/\\]|[.-]\w)")
 _LOWER = re.compile(r"(?<![\w@./\\-])(?P<a>[^\W\d_]{3,})[ \t](?P<b>[^\W\d_]{3,}(?:-[^\W\d_]{3,})?)(?![\w@/\\-]|\.\w)")
-_HAS_NUMBER = re.compile(r"\d[\d .()/-]{5}|[A-Z]\d\d")
+#: Words as _LOWER reads them, with and without the part after a hyphen.
+_LOWER_WORD = re.compile(r"([^\W\d_]+)(?:-[^\W\d_]+)?")
+_HAS_NUMBER = re.compile(r"\d[\d .()/-]{5}|[A-Z]\d\d|[A-Z0-9]{7}")
 _DODGES = ("dot", "(at)", "[at]", "{at}", "<at>")
 #: A number before a capital or a French street word, or a capitalised word before a number.
-_HAS_STREET = re.compile(rf"\d[A-Za-z]?,?[ \t\n]{{1,2}}(?:[A-Z]|(?:bis|ter|quater|{_RUES})\b)|(?<![\w-])[A-ZÄÖÜ][\w-]*[ \t\n]{{1,2}}\d")
+_HAS_STREET = re.compile(rf"\d[A-Za-z]?[ \t\n]{{1,2}}[A-Z]|\d(?:[ \t]?(?:bis|ter|quater))?,?[ \t\n]{{1,2}}(?:{_RUES})\b|[A-ZÄÖÜ][\w-]*(?:{_SUFFIXES})?[ \t\n]{{1,2}}\d")
+_HAS_TITLE = re.compile(_TITLE)
 _TITLED = re.compile(rf"(?<![\w@./-])(?P<title>{_TITLE})[ \t]+(?P<b>{_W})(?![\w@/])")
 _COMMA = re.compile(rf"(?<![\w@./-])(?P<b>{_W})(?:,[ \t]|;|,)(?P<a>[^\W\d_]\.|{_W})(?![\w@/(]|\.\w)")
 _KEYED = re.compile(rf"(?i)\bfirst[ _-]?(?:name)?[\"']?\s*[:=]\s*[\"']?(?P<a>{_W})[\"']?\s*[,;]\s*[\"']?last[ _-]?(?:name)?[\"']?\s*[:=]\s*[\"']?(?P<b>{_W})")
@@ -169,11 +172,11 @@ class Finder:
                     at = m.end()
                 else:
                     taken.pop()
-        if "." in text or "Miss" in text:
+        if _HAS_TITLE.search(text):
             for m in _TITLED.finditer(text):
                 if m["b"][0].isupper() and free(*m.span()):
                     self._name(add, m.start(), m.end(), m["title"].rstrip(".") + ".", m["b"])
-        words = set(low.split())
+        words = {w for m in _LOWER_WORD.finditer(low) for w in (m[0], m[1])}
         if not words.isdisjoint(self.family) or not words.isdisjoint(self.plain_given):
             at = 0
             while m := _LOWER.search(text, at):
