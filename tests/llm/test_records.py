@@ -3,6 +3,7 @@ import random
 from datetime import datetime as dt
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from threadloom.llm import conversations as c
 from threadloom.llm import duplicates as d
@@ -47,48 +48,102 @@ def test_conversations(spark):
     assert c.conversations(m.limit(0), p.limit(0)).count() == 0
 
 
-def test_trees_and_order_over_days(spark):
-    rng = random.Random(2)
-    rows = [("s", f"i{i:03}", rng.randrange(5) * c.DAY_MS + rng.randrange(3), rng.choice(["user", "assistant"]), i, 1, 2, 0, 0) for i in range(200)]
-    df = spark.createDataFrame(rows, "session_id string, id string, t long, role string, name long, s0 long, s1 long, s2 long, s3 long")
-    links = c.reply_links(df)
-    got = links.orderBy("seq").collect()
-    assert [r["id"] for r in got] == [r[1] for r in sorted(rows, key=lambda r: (r[2], r[1]))]
-    for a, b in zip(got, got[1:]):
-        if a["role"] == "user" and b["role"] == "assistant":
-            assert b["parent_id"] == a["id"]
-    parent = {r["seq"]: r["parent_seq"] for r in got}
-
-    def root(x):
-        while parent[x] is not None:
-            x = parent[x]
-        return x
-
-    assert {r["seq"]: r["tree_id"] for r in c.reply_trees(links).collect()} == {x: f"s#{root(x)}" for x in parent}
+LINKS = "session_id string, id string, t long, role string, name long, words array<long>, mentions array<long>"
+DAY = 86_400_000
 
 
-LINKS = "session_id string, id string, t long, role string, name long, words array<long>, mentions array<long>"
+def test_trees_and_order(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice("sssu"), f"i{i:03}", rng.randrange(5) * DAY + rng.randrange(3), rng.choice(["user", "assistant"]), i) for i in range(200)]
+    links = c.reply_links(spark.createDataFrame(rows, "session_id string, id string, t long, role string, name long"))
+    for sid in "su":
+        got = links.where(links["session_id"] == sid).orderBy("seq").collect()
+        assert [(r["id"], r["seq"]) for r in got] == [(r[1], k) for k, r in enumerate(sorted((r for r in rows if r[0] == sid), key=lambda r: (r[2], r[1])))]
+        assert [r["direct"] for r in got] == [False, *[(a["role"], b["role"]) == ("user", "assistant") for a, b in zip(got, got[1:])]]
+        parent = {r["seq"]: r["parent_seq"] for r in got}
+
+        def root(x):
+            while parent[x] is not None:
+                x = parent[x]
+            return x
+
+        assert {r["seq"]: r["tree_id"] for r in c.reply_trees(links).collect() if r["session_id"] == sid} == {x: f"{sid}#{root(x)}" for x in parent}
+
+
+def scored(rows, sid):
+    """Parent of each message of a session, all pairs scored."""
+    order = sorted((r for r in rows if r[0] == sid), key=lambda r: (r[2], r[1]))
+    n = len(order)
+    df = {}
+    for r in order:
+        for w in r[5]:
+            df[w] = df.get(w, 0) + 1
+    want = {}
+    for k, x in enumerate(order):
+        best = (0, 0, None)
+        for j, p in enumerate(order[:k]):
+            score = c.DIRECT if j == k - 1 and (p[3], x[3]) == ("user", "assistant") else 0.0
+            score += (p[3] != x[3]) * c.TURN + 1 / (1 + np.log1p((x[2] - p[2]) / 60_000)) + (p[4] in x[6]) * c.MENTION
+            score += max((np.log((n + 1) / df[w]) / np.log(n + 1) for w in {*p[5]} & {*x[5]}), default=0)
+            best = max(best, (round(score, 9), j, p[1]))
+        want[x[1]] = best[2] if best[0] >= c.LEAST_SCORE or x[3] != "user" else None
+    return want
 
 
 def test_links_equal_brute_force(spark):
     rng = random.Random(3)
-    rows = [(f"s{i % 2}", f"i{i:03}", rng.randrange(9) * c.DAY_MS + rng.randrange(9) * 300_000, rng.choice(["user", "assistant"]), 900 + i % 3, sorted({rng.choice([*range(200), 900, 901]) for _ in range(rng.randrange(9))}), rng.sample([900, 901], i % 5 == 0)) for i in range(160)]
+    names = [(i + 1) << 40 for i in range(3)]
+    word = lambda: 1 + int(200 * rng.random() ** 2)
+    rows = [(f"s{i % 7 % 2}", f"i{i:03}", rng.randrange(9) * DAY + rng.randrange(9) * 300_000, rng.choice(["user", "assistant"]), rng.choice(names), sorted({word() for _ in range(rng.randrange(9))}), rng.sample(names, 2 * (i % 5 == 0))) for i in range(240)]
+    rows += [(f"t{i % 50}", f"j{i:03}", i, "user" if i < 50 else "assistant", 0, [5], []) for i in range(100)]
     want = {}
-    for sid in ("s0", "s1"):
-        order = sorted((r for r in rows if r[0] == sid), key=lambda r: (r[2], r[1]))
-        for k, x in enumerate(order):
-            best = None
-            for j, p in enumerate(order[:k]):
-                score = 8.0 if j == k - 1 and (p[3], x[3]) == ("user", "assistant") else 0.0
-                score += (p[3] != x[3]) * 0.5 + 1 / (1 + np.log1p((x[2] - p[2]) / 60_000)) + (p[4] in x[6]) + len({*p[5]} & {*x[5]}) / max(1, min(len(p[5]), len(x[5])))
-                best = max(best or (0, 0, None), (round(score, 9), j, p[1]))
-            want[x[1]] = best and best[2]
-    far = 0
-    for block in (7, 50, c.BLOCK):
-        got = c.reply_links(spark.createDataFrame(rows, LINKS), block).collect()
-        assert {r["id"]: r["parent_id"] for r in got} == want
-        far += sum(r["parent_seq"] is not None and r["seq"] - r["parent_seq"] > 6 for r in got)
-    assert far and len(want) == 160
+    for sid in {r[0] for r in rows}:
+        want |= scored(rows, sid)
+    df = spark.createDataFrame(rows, LINKS)
+    ranges = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in ("1", "2", "13"):  # sessions in one range, in two, in many
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            got = c.reply_links(df).collect()
+            assert {r["id"]: r["parent_id"] for r in got} == want
+            assert sum(r["parent_seq"] is not None and r["seq"] - r["parent_seq"] > 6 for r in got) > 20
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", ranges)
+
+
+def test_interleaved_channels_are_told_apart(spark):
+    """Two exchanges run through one session by turns; the true parent is the message before in the same exchange."""
+    rng = random.Random(5)
+    topics = [[f"{k}topic{i}" for i in range(40)] for k in "ab"]
+    ms, ps, true = [], [], {}
+    last = [None, None]
+    for i in range(120):
+        k = rng.randrange(2)
+        words = rng.sample(topics[k], 8) + rng.sample(["please", "the", "look", "again", "file"], 3)
+        if last[k]:  # a reply takes up two words of what it answers
+            true[f"m{i}"] = last[k][0]
+            words += last[k][1][:2]
+        last[k] = (f"m{i}", rng.sample(words[:8], 8))
+        ms.append((f"m{i}", "s", 1_700_000_000_000 + i * 120_000, json.dumps({"role": rng.choice(["user", "assistant"]), "agent": "build"}), None, NOW, "x"))
+        ps.append((f"p{i}", f"m{i}", "s", i, json.dumps({"type": "text", "text": " ".join(words)}), NOW))
+    every = c.joined(spark.createDataFrame(ms, M), spark.createDataFrame(ps, P))
+    got = {r["id"]: r["parent_id"] for r in c.reply_links(c.content_rows(every)).collect()}
+    channel = {x: x for x in got}
+    for x in sorted(true, key=lambda x: int(x[1:])):
+        channel[x] = channel[true[x]]
+    same = sum(channel[got[x]] == channel[x] for x in true if got[x])
+    assert same >= 0.85 * len(true)
+    assert sum(got[x] == true[x] for x in true) >= 0.5 * len(true)
+    nearest = sum(channel[f"m{int(x[1:]) - 1}"] == channel[x] for x in true)
+    assert nearest < 0.65 * len(true)  # time alone would not do
+
+
+def test_without_links_nothing_is_kept(spark, monkeypatch):
+    m, p = store(spark, {"good": [("user", "hi", False), ("assistant", "yes", False)]})
+    assert c.conversations(m, p).count() == 2
+    links = c.reply_links
+    monkeypatch.setattr(c, "reply_links", lambda rows: links(rows).withColumn("parent_id", F.lit(None).cast("string")))
+    assert c.conversations(m, p).count() == 0
 
 
 def test_words_and_mentions(spark):

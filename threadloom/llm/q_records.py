@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from threadloom.durable import cut
 from threadloom.llm import conversations, duplicates, pii, secrets
 from threadloom.llm.registry import SQL, query
 from threadloom.sources.tables import load
@@ -20,10 +19,9 @@ def p2_found(spark, d):
 @query
 def p2_threads(spark, d):
     """Reply trees of all sessions with their size, over every content message."""
-    every = conversations.joined(load(spark, d, "messages"), load(spark, d, "parts")).where(F.col("session_id").isNotNull())
-    links = cut(conversations.reply_links(conversations.content_rows(every)), "links")
+    every = conversations.joined(load(spark, d, "messages"), load(spark, d, "parts"))
     return (
-        conversations.reply_trees(links)
+        conversations.reply_trees(conversations.reply_links(conversations.content_rows(every)))
         .groupBy("session_id", "tree_id")
         .agg(F.count("*").alias("n_messages"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
     )
