@@ -60,3 +60,33 @@ def test_prefilters_cover_their_patterns():
         for x in texts:
             assert has.search(x) or not any(p.search(x) for p in patterns), x
     assert {w for m in pii._LOWER_WORD.finditer('ask "anna schmidt", or x-anna-lena') for w in (m[0], m[1])} >= {"anna", "schmidt"}
+
+
+def test_rounds_find_what_seeds_do_not(spark):
+    texts = [
+        "Reported by Anna Dalgren today", "Reported by Berit Eskimo today", "Reported by Cora Falk today", "Reported by Zorka Unbekant today", "Reported by Milka Sondar today", "Reported by Zorka Unbekant today", "Reported by Milka Sondar today",
+        "thanks Zorka Unbekant for it", "thanks Milka Sondar for it", "thanks Quilla Vestor for it", "thanks Ronja Tarnov for it", "thanks Quilla Vestor for it", "thanks Ronja Tarnov for it",
+        "asked Quilla Vestor twice", "asked Ronja Tarnov twice", "asked Selma Ostrik twice",
+        "ship to 3 Elm Road, Xyz", "ship to 5 Fir Lane, Xyz", "ship to 9 Oak Skarn, Xyz", "living near 7 Birch Skarn, now",
+        "call me on 212-555-0100 now", "call me on 212-555-0101 now", "row holds 212-555-0102 active", "row holds 0049 30 23 125 active", "seen beside 0049 30 23 126 once",
+    ]
+    t = spark.createDataFrame([(f"p{i:02}", x) for i, x in enumerate(texts)], "part_id string, text string")
+    names = spark.createDataFrame(LEX, "name_form string, kind string")
+    found = {n: {(r["part_id"], r["kind"]) for r in pii.personal_information(t, names, n).collect()} for n in (0, 1, None)}
+    assert found[0] < found[1] < found[None]
+    late = found[None] - found[1]
+    assert late >= {("p15", "name"), ("p19", "address"), ("p24", "phone")}  # a name, a street and a number shape never seen beside a seed
+    assert found[None] == {(f"p{i:02}", "name" if i < 16 else "address" if i < 20 else "phone") for i in range(len(texts))}
+
+
+def test_long_texts_take_time_in_proportion():
+    import time
+
+    finder = pii.Finder({w.lower() for w in GIVEN}, {w.lower() for w in FAMILY})
+    line = "Anna Falk, mail a@b.example, call me on 212-555-0100 at 14 Elm Road, Town\n"
+    took = []
+    for n in (1_000, 8_000):
+        began = time.process_time()
+        assert len(finder.mentions(line * n)) >= 4 * n
+        took.append(time.process_time() - began)
+    assert took[1] < 20 * took[0]

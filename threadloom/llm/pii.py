@@ -3,11 +3,12 @@
 One pass over the texts finds mentions: every place whose form could be an e-mail address, phone
 number, identity number, street address or name. A mention has instance nodes (the words of a name,
 the shape of a number, the street type) and a pattern node (the words around it). Seeds are sure by
-themselves: lexicon names, numbers with a label, known street types. Then, on tables of counts,
-Spark alternates: patterns whose instances are mostly trusted become trusted, and instances that
-stand in trusted patterns (or beside a trusted partner) become trusted in turn. At the end a mention
-is taken if its instances, or its pattern with one of them, are trusted. Texts are read twice only
-for redaction; the rounds work on (instance, pattern) counts.
+themselves: lexicon names, numbers with a label, the commonest street types. Then, on tables of
+counts, Spark alternates: patterns whose instances are mostly trusted become trusted, and instances
+that stand in trusted patterns (or beside a trusted partner) become trusted in turn, until a round
+changes nothing. What is trusted stays so, hence the rounds end. At the end a mention is taken if its
+instances, or its pattern with one of them, are trusted. Texts are read twice only for redaction; the
+rounds work on (instance, pattern) counts.
 
 The lexicon is a fixed table of names; its size is checked before it is broadcast
 (``MAX_LEXICON``). Learned words and patterns are joined, not broadcast by hand.
@@ -16,16 +17,16 @@ The lexicon is a fixed table of names; its size is checked before it is broadcas
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.durable import cut
+from threadloom.durable import cut, drop_cut
 
 MAX_LEXICON = 1_000_000
-ROUNDS = 2
 #: A pattern is trusted from this share of trusted mentions, with at least two different instances.
 PATTERN_SHARE = 0.5
 #: Share of a word's mentions in trusted places from which it is a name word.
@@ -34,7 +35,11 @@ HALF_KNOWN = 0.8
 #: Share of the labelled mentions of a shape that bear one label from which the shape has that kind.
 SHAPE_SHARE = 0.8
 
-# Street types (English, German suffixes, French) that seed addresses.
+#: Share of the mentions of a street type in trusted places from which it is one.
+TYPE_SHARE = 0.5
+
+# Street types (English, German suffixes, French); SEED_TYPES are sure, the rest are learned.
+SEED_TYPES = frozenset("street st avenue ave road rd lane ln straße str weg rue".split())
 _STREETS = "street|st|avenue|ave|road|rd|lane|ln|drive|dr|court|ct|square|sq|boulevard|blvd|way|place|pl|terrace|close|crescent"
 _SUFFIXES = "straße|strasse|str\\.|weg|allee|gasse|platz|ring|damm|ufer"
 _RUES = "rue|avenue|boulevard|place|chemin|allée|impasse|quai|route|cours"
@@ -44,9 +49,9 @@ _ID_LABEL = re.compile(
     r"identity card(?: number| no\.?)?|\bid card(?: number| no\.?)?|personal (?:code|number|id|no\.?)|driv(?:er|ing)[ '\w]{0,4}licen[cs]e(?: number| no\.?)?|(?:credit|debit|bank) card(?: number| no\.?)?|card (?:number|no\.?)|"
     r"steuer-?id|ausweis(?:nummer)?|personalausweis|reisepass|num[ée]ro de s[ée]cu\w*|citizen (?:id|number)|health (?:id|number)|insurance number)\s*(?:is|was|:|=|#)?\s*[\"'(]?$"
 )
-_PHONE_LABEL = re.compile(r"(?i)(?:\b(?:tel|telephone|phone|mobile|cell|fax|sms|hotline|telefon|handy|t[ée]l)\b\.?\w*|call (?:me|us|him|her|them)?\s*(?:on|at|under)|\bdial|\b(?:on-call|fallback|contact|emergency|support) number(?: is)?|sms went to|reach the tester at|^contact,|whatsapp)\s*(?:is|:|=|to|on|at)?\s*[\"'(]?$")
+_PHONE_LABEL = re.compile(r"(?i)(?:\b(?:tel|telephone|phone|mobile|cell|fax|sms|hotline|telefon|handy|t[ée]l)\b\.?\w*|call (?:me|us|him|her|them)?\s*(?:on|at|under)|\bdial|\b(?:on-call|fallback|contact|emergency|support) number(?: is)?|whatsapp)\s*(?:is|:|=|to|on|at)?\s*[\"'(]?$")
 _OTHER_LABEL = re.compile(
-    r"(?i)(?:\b(?:order|invoice|commit|request|build|version|release[d]?|ip|ports?|started at|part (?:number|no\.?)|article|ticket|issue|pr|sha|hash|checksum|serial(?: number)?|model|sku|isbn|rev(?:ision)?|pinned|epoch|timestamp|pid|error|code|line|lines|offset|size|bytes|for|after|from|to|by|in|of|up)\b)\s*(?:is|:|=|#)?\s*[\"'(]?$"
+    r"(?i)(?:\b(?:order|invoice|commit|request|build|version|release[d]?|ip|ports?|started at|part (?:number|no\.?)|article|ticket|issue|pr|sha|hash|checksum|serial(?: number)?|model|sku|isbn|rev(?:ision)?|pinned|epoch|timestamp|pid|error|code|line|lines|offset|size|bytes)\b)\s*(?:is|:|=|#)?\s*[\"'(]?$"
 )
 
 _EMAIL = re.compile(r"(?<![\w.+%-])[\w][\w.+-]*(?:@|%40)(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}(?![\w-])")
@@ -109,6 +114,23 @@ def _pattern(text: str, start: int, end: int) -> str:
     return f"{tidy(before[-2:])} _ {tidy(after[: 2 if after[0].isalnum() else 1])}"
 
 
+class Spans:
+    """Spans that do not overlap, in order."""
+
+    def __init__(self) -> None:
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+
+    def free(self, a: int, b: int) -> bool:
+        i = bisect_left(self.starts, b)
+        return i == 0 or self.ends[i - 1] <= a
+
+    def add(self, a: int, b: int) -> None:
+        i = bisect_left(self.starts, a)
+        self.starts.insert(i, a)
+        self.ends.insert(i, b)
+
+
 class Finder:
     """Finds mentions in one text; holds the seed lexicon."""
 
@@ -120,13 +142,12 @@ class Finder:
     def mentions(self, text: str) -> list[tuple]:
         """(start, end, family_kind, a, b, pattern, seed) of every mention, not overlapping."""
         out: list[tuple] = []
-        taken: list[tuple[int, int]] = []
-
-        def free(a: int, b: int) -> bool:
-            return all(b <= x or y <= a for x, y in taken)
+        taken = Spans()
+        free = taken.free
 
-        def add(a: int, b: int, kind: str, i: str, j: str, seed: str | None) -> None:
-            taken.append((a, b))
+        def add(a: int, b: int, kind: str, i: str, j: str, seed: str | None, holds: bool = True) -> None:
+            if holds:
+                taken.add(a, b)
             out.append((a, b, kind, i, j, _pattern(text, a, b), seed))
 
         low = text.lower()
@@ -141,7 +162,8 @@ class Finder:
             for pattern in (_ADDRESS_FR, _ADDRESS_EN, _ADDRESS_DE):
                 for m in pattern.finditer(text):
                     if m[0].count("\n") <= 1 and free(*m.span()):
-                        add(m.start(), m.end(), "address", (m["type"] or m.groupdict().get("type2") or "").lower().rstrip("."), "", "address")
+                        kind = (m["type"] or m.groupdict().get("type2") or "").lower().rstrip(".")
+                        add(m.start(), m.end(), "address", kind, "", "address" if kind in SEED_TYPES else None)
             for m in _ADDRESS_ANY.finditer(text):
                 if free(*m.span()):
                     add(m.start(), m.end(), "address", m["type"].lower(), "", None)
@@ -167,11 +189,10 @@ class Finder:
             at = m.end("a")
             if free(*m.span()):
                 a, b = m["a"], m["b"]
-                self._name(add, m.start(), m.end(), a, b)
-                if a.lower() in self.all or b.lower() in self.all or a[1:] == ".":
+                half = a.lower() in self.all or b.lower() in self.all or a[1:] == "."
+                self._name(add, m.start(), m.end(), a, b, half)
+                if half:
                     at = m.end()
-                else:
-                    taken.pop()
         if _HAS_TITLE.search(text):
             for m in _TITLED.finditer(text):
                 if m["b"][0].isupper() and free(*m.span()):
@@ -186,12 +207,12 @@ class Finder:
                     self._name(add, m.start(), m.end(), a, b)
         return out
 
-    def _name(self, add, start: int, end: int, a: str, b: str) -> None:
+    def _name(self, add, start: int, end: int, a: str, b: str, holds: bool = True) -> None:
         i, j = a.lower(), b.lower()
         parts = j.split("-")
         known_b = all(p in self.family for p in parts)
         known_a = i in self.given or a[1:] == "." or i.rstrip(".") in ("dr", "mr", "mrs", "ms", "miss", "prof", "sir", "herr", "frau", "mme", "mlle")
-        add(start, end, "name", i, j, "name" if known_a and known_b else None)
+        add(start, end, "name", i, j, "name" if known_a and known_b else None, holds)
 
 
 # Given names that are common words.
@@ -223,8 +244,10 @@ def find_mentions(texts: DataFrame, names: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for pid, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for a, b, kind, i, j, pattern, seed in finder.mentions(text):
-                    rows.append((pid, text.count("\n", 0, a) + 1, a, b, kind, i, j, pattern, seed))
+                found = finder.mentions(text)
+                lines = [m.start() for m in re.finditer("\n", text)] if found else []
+                for a, b, kind, i, j, pattern, seed in found:
+                    rows.append((pid, bisect_left(lines, a) + 1, a, b, kind, i, j, pattern, seed))
             cols = list(zip(*rows)) if rows else [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=[x.split()[0] for x in _SHAPE.split(", ")])
 
@@ -240,14 +263,26 @@ def _scored(edges: DataFrame) -> DataFrame:
     return edges.groupBy("pattern").agg((F.sum(weight) / F.count("*")).alias("share"), F.count_if(sure).alias("n_sure"))
 
 
-def _learn_names(edges: DataFrame, rounds: int) -> tuple[DataFrame, DataFrame]:
-    """(words, patterns): trusted (slot, word) and trusted patterns after the given rounds.
+def _rounds(state: DataFrame, step, rounds: int | None, label: str) -> DataFrame:
+    """``step`` applied until no row has ``changed``, or for the given number of rounds."""
+    state = cut(state, label)
+    while rounds is None or rounds > 0:
+        after = cut(step(state), label)
+        drop_cut(state)
+        state = after.drop("changed")
+        if after.where("changed").isEmpty():
+            break
+        rounds = None if rounds is None else rounds - 1
+    return state
+
+
+def _learn_names(edges: DataFrame, rounds: int | None) -> tuple[DataFrame, DataFrame]:
+    """(edges, patterns) once both slots of every edge are known or not.
 
-    edges: a, b, pattern, n, seeded (both words in the lexicon or an initial or title with a family name),
-    known_a, known_b (0 or 1).
+    edges: a, b, pattern, n, known_a, known_b (0 or 1: in the lexicon, an initial or a title).
     """
-    known = edges
-    for _ in range(rounds):
+
+    def step(known: DataFrame) -> DataFrame:
         patterns = _scored(known).where((F.col("share") >= PATTERN_SHARE) & (F.col("n_sure") >= 2)).select("pattern", "share")
         at = known.join(patterns, "pattern", "left")
         good = F.col("share").isNotNull()
@@ -255,24 +290,21 @@ def _learn_names(edges: DataFrame, rounds: int) -> tuple[DataFrame, DataFrame]:
         def promoted(slot: str, partner: str) -> DataFrame:
             backed = good | (F.col(f"known_{partner}") == 1) & (F.length(partner) > 2)
             return (
-                at.groupBy(F.col(slot).alias("word"))
+                at.groupBy(F.col(slot).alias(slot))
                 .agg((F.sum(F.when(good, F.col("n")).otherwise(0)) / F.sum("n")).alias("share"), F.count_if(good).alias("n_good"), F.count_if(backed).alias("n_backed"), F.max(f"known_{slot}").alias("was"))
                 .where((F.col("was") == 1) | ((F.col("n_good") >= 1) & (F.col("n_backed") >= 1) & (F.col("share") >= WORD_SHARE)))
-                .select("word", F.lit(1).alias("now"))
+                .select(slot, F.lit(1).alias(f"now_{slot}"))
             )
 
-        new_a = promoted("a", "b").select(F.col("word").alias("a"), F.col("now").alias("now_a"))
-        new_b = promoted("b", "a").select(F.col("word").alias("b"), F.col("now").alias("now_b"))
-        known = cut(
-            known.join(new_a, "a", "left").join(new_b, "b", "left").select(
-                "a", "b", "pattern", "n", F.greatest("known_a", F.coalesce("now_a", F.lit(0))).alias("known_a"), F.greatest("known_b", F.coalesce("now_b", F.lit(0))).alias("known_b")
-            ),
-            "name-edges",
-        )
+        now = [F.greatest(f"known_{x}", F.coalesce(f"now_{x}", F.lit(0))).alias(f"known_{x}") for x in "ab"]
+        changed = (F.coalesce("now_a", F.lit(0)) > F.col("known_a")) | (F.coalesce("now_b", F.lit(0)) > F.col("known_b"))
+        return known.join(promoted("a", "b"), "a", "left").join(promoted("b", "a"), "b", "left").select("a", "b", "pattern", "n", *now, changed.alias("changed"))
+
+    known = _rounds(edges, step, rounds, "name-edges")
     return known.select("a", "b", "pattern", "known_a", "known_b"), _scored(known)
 
 
-def _name_mentions(mentions: DataFrame, names: DataFrame, rounds: int) -> DataFrame:
+def _name_mentions(mentions: DataFrame, names: DataFrame, rounds: int | None) -> DataFrame:
     words = names.select(F.lower(F.trim("name_form")).alias("w"), F.lower(F.trim("kind")).alias("k")).distinct()
     own = mentions.where(F.col("family_kind") == "name")
     flat = own.groupBy("a", "b", "pattern").agg(F.count("*").alias("n"))
@@ -284,7 +316,7 @@ def _name_mentions(mentions: DataFrame, names: DataFrame, rounds: int) -> DataFr
         .join(family, "bf", "left")
         .select("a", "b", "pattern", "n", F.coalesce(F.col("ga"), F.when(F.col("a").endswith("."), 1), F.lit(0)).alias("known_a"), F.coalesce("fb", F.lit(0)).alias("known_b"))
     )
-    known, patterns = _learn_names(cut(edges, "name-edges"), rounds)
+    known, patterns = _learn_names(edges, rounds)
     trusted = (F.col("share") >= PATTERN_SHARE) & (F.col("n_sure") >= 2)
     taken = (
         known.join(patterns, "pattern")
@@ -298,58 +330,51 @@ def _name_mentions(mentions: DataFrame, names: DataFrame, rounds: int) -> DataFr
     return own.join(taken, ["a", "b", "pattern"]).withColumn("kind", F.lit("name"))
 
 
-def _number_mentions(mentions: DataFrame, rounds: int) -> DataFrame:
-    """Numbers by label, else by what labelled numbers of their shape and pattern are."""
-    own = mentions.where(F.col("family_kind") == "number").withColumnRenamed("a", "form")
-    edges = cut(own.groupBy("form", "pattern", "seed").agg(F.count("*").alias("n")), "number-edges")
-    # The label that most of a node's labelled mentions bear; unlabelled edges take the label of
-    # their shape, or of their pattern, in the next round.
+def _form_mentions(mentions: DataFrame, rounds: int | None) -> DataFrame:
+    """Numbers and addresses: one graph of forms (shape of a number, street type) and patterns.
+
+    An edge that has no seed takes a label from its pattern or its form. A form or a pattern bears the
+    label of at least ``SHAPE_SHARE`` of its labelled mentions; as street types have no counter-examples,
+    theirs must also reach ``TYPE_SHARE`` of all their mentions (and a pattern two seeded ones).
+    Among the labels of a number ``other`` from the pattern goes before the form.
+    """
+    own = mentions.where(F.col("family_kind").isin("number", "address")).withColumnRenamed("a", "form")
+    edges = own.groupBy("family_kind", "form", "pattern", "seed").agg(F.count("*").alias("n")).withColumn("label", F.col("seed"))
+
     def best(rows: DataFrame, node: str) -> DataFrame:
-        votes = rows.where(F.col("label").isNotNull()).groupBy(node, "label").agg(F.sum("n").alias("v"))
+        labelled = F.col("label").isNotNull()
+        votes = rows.groupBy("family_kind", node, "label").agg(F.sum("n").alias("v"), F.count("*").alias("edges"))
+        few = (F.col("family_kind") == "address") & ((F.col("top") < TYPE_SHARE * F.col("every")) | ((F.col("top") < 2) if node == "pattern" else F.lit(False)))
         return (
-            votes.groupBy(node)
-            .agg(F.max_by("label", F.struct("v", "label")).alias("top"), (F.max("v") / F.sum("v")).alias("share"))
-            .where(F.col("share") >= SHAPE_SHARE)
-            .select(node, F.col("top").alias(f"{node}_label"))
+            votes.groupBy("family_kind", node)
+            .agg(F.max_by("label", F.when(labelled, F.struct("v", "label"))).alias("which"), F.max(F.when(labelled, F.col("v"))).alias("top"), F.sum(F.when(labelled, F.col("v"))).alias("told"), F.sum("v").alias("every"))
+            .where((F.col("top") >= SHAPE_SHARE * F.col("told")) & ~few)
+            .select("family_kind", node, F.col("which").alias(f"{node}_label"))
         )
 
-    state = edges.withColumn("label", F.col("seed"))
-    for _ in range(rounds):
-        shapes, patterns = best(state, "form"), best(state, "pattern")
-        state = edges.join(shapes, "form", "left").join(patterns, "pattern", "left").select(
-            "form", "pattern", "seed", "n",
-            F.coalesce("seed", F.when(F.col("pattern_label") == "other", F.lit("other")), "form_label", "pattern_label").alias("label"),
-        )
-    labels = state.where(F.col("label").isin("phone", "id_number")).select("form", "pattern", F.coalesce("seed", F.lit("")).alias("s"), F.col("label").alias("kind"))
-    return own.withColumn("s", F.coalesce("seed", F.lit(""))).join(labels, ["form", "pattern", "s"]).withColumnRenamed("form", "a")
-
-
-def _address_mentions(mentions: DataFrame) -> DataFrame:
-    """Addresses of known street types, and others whose type or pattern known ones share."""
-    own = mentions.where(F.col("family_kind") == "address")
-    edges = own.groupBy("a", "pattern").agg(F.count("*").alias("n"), F.max("seed").alias("seeded"))
-    patterns = edges.groupBy("pattern").agg((F.count("seeded") / F.count("*")).alias("share"), F.count("seeded").alias("n_seeded"))
-    types = (
-        edges.join(patterns, "pattern")
-        .groupBy("a")
-        .agg(F.max("seeded").alias("known"), (F.count_if((F.col("share") >= PATTERN_SHARE) & (F.col("n_seeded") >= 2)) / F.count("*")).alias("good"))
-        .where(F.col("known").isNotNull() | (F.col("good") >= PATTERN_SHARE))
-        .select("a")
-    )
-    return own.join(types, "a").withColumn("kind", F.lit("address"))
+    def step(state: DataFrame) -> DataFrame:
+        known = state.join(best(state, "form"), ["family_kind", "form"], "left").join(best(state, "pattern"), ["family_kind", "pattern"], "left")
+        now = F.coalesce("label", F.when(F.col("pattern_label") == "other", F.lit("other")), "form_label", "pattern_label")
+        return known.select("family_kind", "form", "pattern", "seed", "n", now.alias("label"), (F.col("label").isNull() & now.isNotNull()).alias("changed"))
+
+    state = _rounds(edges, step, rounds, "form-edges")
+    types = best(state, "form").where(F.col("family_kind") == "address").select("family_kind", "form", F.lit(True).alias("typed"))
+    taken = state.join(types, ["family_kind", "form"], "left").where(F.col("label").isin("phone", "id_number") | (F.col("label") == "address") & (F.col("typed") | F.col("seed").isNotNull()))
+    labels = taken.select("family_kind", "form", "pattern", F.coalesce("seed", F.lit("")).alias("s"), F.col("label").alias("kind"))
+    return own.withColumn("s", F.coalesce("seed", F.lit(""))).join(labels, ["family_kind", "form", "pattern", "s"])
 
 
-def personal_information(texts: DataFrame, names: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def personal_information(texts: DataFrame, names: DataFrame, rounds: int | None = None) -> DataFrame:
     """(part_id, line_no, start_at, end_at, kind) of every taken mention, distinct.
 
-    Null and empty texts have none; repeated rows count once in the result. An empty lexicon leaves
+    rounds: at most so many, by default until nothing changes. Null and empty texts have none; repeated rows count once in the result. An empty lexicon leaves
     names to what patterns of the other seeds cannot tell, that is, none. Ties between labels of a
     shape go to the greater label text.
     """
     mentions = cut(find_mentions(texts, names), "mentions")
     cols = ["part_id", "line_no", "start_at", "end_at", "kind"]
     email = mentions.where(F.col("family_kind") == "email").withColumn("kind", F.lit("email"))
-    found = [email, _address_mentions(mentions), _number_mentions(mentions, rounds), _name_mentions(mentions, names, rounds)]
+    found = [email, _form_mentions(mentions, rounds), _name_mentions(mentions, names, rounds)]
     out = found[0].select(cols)
     for f in found[1:]:
         out = out.unionByName(f.select(cols))
