@@ -206,6 +206,38 @@ def test_secrets():
     assert [lines(t) for t in no] == [[]] * len(no)
 
 
+def test_every_shape_of_parameters_is_scanned():
+    auto, hexed = s._automaton(), "9f86d081884c7d659a2feaa0c55ad015"
+    cases = {
+        '{"price": 1.10, "a": {"b" : "x\\u00e9 token = \\"%s\\""}, "a": [null, ""], "": "k"}': [("a", 1)],
+        '{"content": "token = \'%s\'\\nx", "cut': [("", 1)],
+        '["token = \'%s\'"]': [("", 1)],
+        '"token = \'%s\'"': [("", 1)],
+        '{"env": {"DB_PASSWORD": "%s", "SORT_KEY": "%s-"}}': [("env", 1)],
+        '{"c": "password = (\\n\\n    \'%s\'\\n)"}': [("c", 3)],
+        '{"c": "Fernet(b\'%s\')"}': [("c", 1)],
+        '{"c": "FIXME %s"}': [("c", 1)],
+        '{"c": "curl -u me:%s \\\\\\n  https://h"}': [("c", 1)],
+        '{"c": "\\"me:%s@tcp(db)\\""}': [("c", 1)],
+    }
+    for text, want in cases.items():
+        raw = text.replace("%s", KEY)
+        rows, masked = s.scan_parameters(raw, auto)
+        assert list(dict.fromkeys(rows)) == want, raw
+        assert len(masked) == len(raw) and masked.startswith(raw[: raw.index(KEY)]) and KEY not in masked.replace(f"{KEY}-", "")
+        kept = [i for i, (a, b) in enumerate(zip(raw, masked)) if a != b]
+        assert all(raw.index(KEY) <= i < raw.index(KEY) + len(KEY) for i in kept)
+    sendgrid = "SG." + "aB3" * 7 + "." + "xY9" * 12
+    assert lines(sendgrid) == [1]
+    assert s._masked(hexed) == "0a00a000000a0a000a0aaaa0a00aa000" and s._masked("aB3-x!") == "xX0-x!"
+    assert s.mask("key=abc", [(4, 7), (5, 7)]) == "key=xxx"
+    good = "ghp_" + "A1b2C3" * 5
+    good = next(t for n in [__import__("zlib").crc32(good[4:].encode())] for t in [good + "".join(s._BASE62[n // 62**k % 62] for k in range(5, -1, -1))])
+    assert s._checksum(good) and not s._checksum(good[:-1] + ("A" if good[-1] != "A" else "B")) and lines("x " + good) == [1]
+    many = ("-----BEGIN PRIVATE KEY-----\n" * 20_000) + "token = '" + KEY + "'"
+    assert lines(many) == [20_000]  # the last one is open to the end and has a body
+
+
 def test_redaction(spark):
     rows = [("a", json.dumps({"content": f"x = 1\ntoken = '{KEY}'\n", "n": [1]}), "z"), ("b", None, "z"), ("c", "{", "z"), ("d", "", "z"), ("e", "[1]", "z")]
     df = spark.createDataFrame(rows, "call_id string, parameters string, hits string")

@@ -78,7 +78,7 @@ def p5_found(spark, d):
 
 @query
 def p5_redacted_calls(spark, d):
-    """Every distinct call row with its credentials masked."""
+    """Every call row, repeated ones too, with its credentials masked."""
     return secrets.redact_calls(load(spark, d, "tool_calls")).select("call_id", "parameters", F.size("hits").alias("n_hits"))
 
 

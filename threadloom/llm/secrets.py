@@ -1,9 +1,9 @@
 """Credentials embedded in source code, configuration and command lines.
 
 A keyword automaton passes over each text once; only texts with a keyword go on, and of these only
-the lines near one. On them issuer formats, headers, addresses with user data, assignments to
+the lines with one (and the next, where an assignment is left open). On them issuer formats, headers, addresses with user data, assignments to
 secret names and key blocks are matched, each match is checked for structure (token headers,
-base64 user data, entropy, stand-ins, references), and every literal that remains is replaced by
+base64 user data, checksums of issuers that publish them, variety, stand-ins, references), and every literal that remains is replaced by
 a placeholder of the same length over the same alphabet, so the code around it stays whole.
 
 Everything happens inside one map over the table: no shuffle, no state between rows.
@@ -15,6 +15,8 @@ import base64
 import binascii
 import json
 import re
+import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import ahocorasick
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 # Keywords one of which stands near every credential, lower case.
 KEYWORDS = (
     "key", "token", "secret", "passw", "pwd", "pass", "auth", "bearer", "basic", "credential", "login", "://", "_live_", "_test_",
-    "ghp_", "gho_", "ghs_", "ghu_", "github_pat_", "glpat-", "akia", "asia", "xox", "sk-", "eyj", "aiza", "npm_", "pypi-", "hf_", "_pat", "todo", "remove", "rotate", "revoke", "sign(", "jwt", "hmac", "encrypt", "mysql", "sshpass", "\" + \"", "' + '",
+    "ghp_", "gho_", "ghs_", "ghu_", "github_pat_", "glpat-", "akia", "asia", "xox", "sk-", "eyj", "aiza", "npm_", "pypi-", "hf_", "_pat", "todo", "remove", "rotate", "revoke", "sign(", "jwt", "hmac", "encrypt", "mysql", "sshpass", "\" + \"", "' + '", "sg.", "fernet", "fixme", "-u ", "--user", "@tcp(", "@unix(", "sign (",
 )
 
 # Token formats of issuers.
@@ -46,9 +48,12 @@ _BEARER = re.compile(r"(?i)\b(?:bearer|token)\s+([A-Za-z0-9+/=._~-]{8,})")
 _BASIC = re.compile(r"(?i)\bbasic\s+([A-Za-z0-9+/_-]{6,}={0,2})")
 
 _SECRET = r"(?:pass(?:w(?:or)?d|phrase)?|pwd|secret|token|pat|credentials?|auth|key)"
-_NAME = rf"(?i:(?<![A-Za-z0-9])(?P<name>[A-Za-z0-9_.\-]{{0,64}}?{_SECRET})(?![A-Za-z0-9]))"
+#: A whole name where the place before it is fixed, and the end of a name; ``_full_name`` reads the rest.
+_NAME = rf"(?i:(?<![A-Za-z0-9])(?P<name>[A-Za-z0-9_.\-]*?{_SECRET})(?![A-Za-z0-9]))"
+_END_OF_NAME = rf"(?i:(?P<name>{_SECRET})(?![A-Za-z0-9]))"
+_STRONG = re.compile(r"(?i)pass|pwd|secret|token|api[_-]?key|auth|cred|access[_-]?key|_pat|signing|private")
 _QUOTED = re.compile(
-    _NAME + r"[\"'\]]{0,2}\s*(?::=|=>|==?|:|,)\s*(?:(?:[\w.]+|\[\]byte)\()?[bfru]?(?P<q>[\"'`])(?P<value>[^\"'`\s]+)(?P=q)"
+    _END_OF_NAME + r"[\"'\]]{0,2}\s*(?::=|=>|==?|:|,)\s*(?:(?:[\w.]+|\[\]byte)\()?[bfru]?(?P<q>[\"'`])(?P<value>[^\"'`\s]+)(?P=q)"
     r"(?P<more>(?:\s*(?:\+|\.)?\s*(?P=q)[^\"'`\s]+(?P=q))*)"
 )
 _BARE = re.compile(r"^[+\- ]?\s*(?:-\s+)?(?:(?:export|set|setenv|ENV|ARG)\s+)?[\"']?" + _NAME + r"[\"']?\s*[=:]\s*(?P<value>[^\s\"'`,;#()\[\]{}<>$]+)\s*(?:[,;]|\s#.*)?$")
@@ -62,6 +67,8 @@ _SIGNING = re.compile(r"(?i)(?:jwt\.\w+|hmac\w*(?:\.new)?|createHmac|fernet|encr
 _SPLIT = re.compile(r"(?P<q>[\"'`])[^\"'`\s]+(?P=q)(?:\s*\+\s*(?P=q)[^\"'`\s]+(?P=q))+")
 _CHORE = re.compile(r"(?i)\b(?:remove|rotate|revoke|todo|fixme)\b[\s:,-]*(?P<value>[A-Za-z0-9+/=._~-]{16,})")
 _PROSE = re.compile(r"(?i)\b(?:pass(?:word|wd|phrase)?|secret|token|key)\s+(?:(?:was|is|=|:)\s+)?[\"'`]?(?P<value>[A-Za-z0-9+/=._!@%^*~-]{8,})")
+_OPEN = re.compile(_END_OF_NAME + r"[\"'\]]{0,2}\s*(?::=|=>|==?|:|,)\s*(?:(?:[\w.]+|\[\]byte)?\(|\\)?\s*$")
+_FIRST = re.compile(r"^[+\- ]?\s*[bfru]?(?P<q>[\"'`])(?P<value>[^\"'`\s]+)(?P=q)")
 _BLOCK = re.compile(r"^[+\- ]?\s*(?:-\s+)?[\"']?" + _NAME + r"[\"']?\s*:\s*[>|][+-]?\d?\s*$")
 
 # Parts of stand-ins, lower case.
@@ -109,10 +116,32 @@ def _basic_pair(value: str) -> bool:
     return bool(sep) and _real(word, True, 4)
 
 
+_BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+
+
+def _checksum(value: str) -> bool:
+    """Whether a token ends with the CRC-32 of its body in six base-62 digits, as some issuers publish."""
+    if not re.fullmatch(r"(?:gh[opsu]|npm)_[A-Za-z0-9]{36}", value):
+        return False
+    n, out = zlib.crc32(value[4:-6].encode()), ""
+    for _ in range(6):
+        n, digit = divmod(n, 62)
+        out = _BASE62[digit] + out
+    return value.endswith(out)
+
+
 def _issuer(value: str) -> bool:
+    """A checksum that fits settles it; one that does not may be of an older format."""
     if value.startswith("eyJ"):
         return _token_header(value)
-    return not _STAND_INS.search(value) and len(set(value[4:])) >= 6
+    return _checksum(value) or not _STAND_INS.search(value) and len(set(value[4:])) >= 6
+
+
+def _full_name(text: str, start: int, end: int) -> str:
+    """The name that ends at ``end``, from its first letter, digit, underscore, dot or dash."""
+    while start and (text[start - 1].isalnum() or text[start - 1] in "_.-") and text[start - 1].isascii():
+        start -= 1
+    return text[start:end]
 
 
 def line_spans(line: str) -> list[tuple[int, int]]:
@@ -143,11 +172,11 @@ def line_spans(line: str) -> list[tuple[int, int]]:
             if _basic_pair(m[1]):
                 add(m.span(1))
     for m in _QUOTED.finditer(line):
-        name, value = m["name"].lower(), m["value"]
-        if _NO_SECRET_NAME.search(m["name"]) or name.startswith("public"):
+        name, value = _full_name(line, *m.span("name")), m["value"]
+        if _NO_SECRET_NAME.search(name) or name.lower().startswith("public"):
             continue
         extra = re.findall(r"[\"'`]([^\"'`\s]+)[\"'`]", m["more"])
-        if _real(value + "".join(extra), bool(re.search(r"pass|pwd|secret|token|api[_-]?key|auth|cred|access[_-]?key|signing|private", name))):
+        if _real(value + "".join(extra), bool(_STRONG.search(name))):
             add(m.span("value"))
             at = m.start("more")
             for x in extra:
@@ -157,7 +186,7 @@ def line_spans(line: str) -> list[tuple[int, int]]:
     m = _BARE.match(line)
     if m and not _NO_SECRET_NAME.search(m["name"]):
         value = m["value"]
-        strong = bool(re.search(r"(?i)pass|pwd|secret|token|api[_-]?key|auth|cred|access[_-]?key|_pat|signing|private", m["name"]))
+        strong = bool(_STRONG.search(m["name"]))
         if re.fullmatch(r"[A-Za-z_][\w]*(?:\.[A-Za-z_]\w*)+", value) or value.replace(".", "").replace("_", "").isdigit():
             pass
         elif _real(value, strong, 8):
@@ -202,85 +231,144 @@ def text_spans(text: str, automaton: ahocorasick.Automaton) -> list[tuple[int, i
     hits = [at for at, _ in automaton.iter(low)] if len(low) == len(text) else [0]
     if not hits:
         return []
-    blocks = []
-    for m in _BEGIN.finditer(text):
-        end = _END.search(text, m.end())
-        stop = end.start() if end else len(text)
-        if _BODY.search(text, m.end(), stop):
-            blocks.append((m.start(), m.end(), stop))
-    found = [(text.count("\n", 0, a) + 1, b, c) for a, b, c in blocks]
     lines = text.split("\n")
     starts, at = [], 0
     for line in lines:
         starts.append(at)
         at += len(line) + 1
+    row_of = lambda at: bisect_left(starts, at + 1) - 1
+    begins = list(_BEGIN.finditer(text)) if "PRIVATE KEY" in text else []
+    ends = [m.start() for m in _END.finditer(text)] if begins else []
+    found: list[tuple[int, int, int]] = []
+    inside: set[int] = set()
+    for m, after in zip(begins, [*begins[1:], None]):
+        last = bisect_left(ends, m.end())
+        stop = min(ends[last] if last < len(ends) else len(text), after.start() if after else len(text))
+        if _BODY.search(text, m.end(), stop):
+            found.append((row_of(m.start()) + 1, m.end(), stop))
+            inside.update(range(row_of(m.start()), row_of(max(stop - 1, m.start())) + 1))
     wanted: set[int] = set()
     if len(low) == len(text):
-        row = 0
-        for hit in hits:
-            while row + 1 < len(starts) and starts[row + 1] <= hit:
-                row += 1
-            wanted.add(row)
+        wanted.update(row_of(hit) for hit in hits)
     else:
         wanted = set(range(len(lines)))
-    for row in sorted(wanted):
-        if any(a <= starts[row] + len(lines[row]) and starts[row] < c for a, _, c in blocks):
-            continue
+    for row in sorted(wanted - inside):
         line = lines[row]
-        for a, b in line_spans(line):
-            found.append((row + 1, starts[row] + a, starts[row] + b))
-        if _BLOCK.match(line) and not _NO_SECRET_NAME.search(_BLOCK.match(line)["name"]):
-            for below in range(row + 1, len(lines)):
+        spans = line_spans(line)
+        below = row + 1
+        opened = _OPEN.search(line)
+        block = _BLOCK.match(line)
+        if opened or block:
+            while below < len(lines) and not lines[below].lstrip("+ \t-").strip():
+                below += 1
+        if below < len(lines) and below not in inside:
+            if opened and not _NO_SECRET_NAME.search(name := _full_name(line, *opened.span("name"))):
+                m = _FIRST.match(lines[below])
+                if m and _real(m["value"], bool(_STRONG.search(name))):
+                    found.append((below + 1, starts[below] + m.start("value"), starts[below] + m.end("value")))
+            if block and not _NO_SECRET_NAME.search(block["name"]):
                 value = lines[below].lstrip("+ \t-").strip()
-                if value:
-                    if _real(value, True, 8) and " " not in value:
-                        a = starts[below] + lines[below].index(value)
-                        found.append((below + 1, a, a + len(value)))
-                    break
+                if _real(value, True, 8) and " " not in value:
+                    a = starts[below] + lines[below].index(value)
+                    found.append((below + 1, a, a + len(value)))
+        found.extend((row + 1, starts[row] + a, starts[row] + b) for a, b in spans)
     return found
 
 
+_HEX = re.compile(r"(?=.*\d)(?:[0-9a-f-]{8,}|[0-9A-F-]{8,})")
+
+
+def _masked(value: str) -> str:
+    """Digits as 0 and letters as x or X (a or A where the literal is hexadecimal); the rest stays."""
+    small, large = "aA" if _HEX.fullmatch(value) else "xX"
+    return "".join("0" if c.isdigit() else large if c.isupper() else small if c.isalpha() else c for c in value)
+
+
 def mask(text: str, spans: list[tuple[int, int]]) -> str:
-    """``text`` with letters of the spans turned to x or X and digits to 0; the rest stays."""
-    out = list(text)
-    for a, b in spans:
-        for i in range(a, b):
-            c = out[i]
-            out[i] = "0" if c.isdigit() else "X" if c.isupper() else "x" if c.isalpha() else c
-    return "".join(out)
+    """``text`` with the spans over the same alphabets in the same length; the rest stays."""
+    pieces, at = [], 0
+    for a, b in sorted(spans):
+        if b > at:
+            pieces += [text[at : max(a, at)], _masked(text[max(a, at) : b])]
+            at = b
+    return "".join(pieces) + text[at:]
+
+
+_LITERAL = re.compile(r'"(?:[^"\\]|\\.)*"', re.DOTALL)
+_PIECE = re.compile(r"\\u[dD][89abAB][0-9a-fA-F]{2}\\u[dD][c-fC-F][0-9a-fA-F]{2}|\\u[0-9a-fA-F]{4}|\\.|.", re.DOTALL)
+_ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "b": "\b", "f": "\f"}
+
+
+def _decoded(piece: str) -> str:
+    """The one character that a piece of a JSON literal stands for."""
+    if piece[0] != "\\" or len(piece) == 1:
+        return piece
+    return _ESCAPES.get(piece[1], piece[1]) if piece[1] != "u" else json.loads(f'"{piece}"')
+
+
+def _rewrite(raw: str, masked: str) -> str:
+    """A raw JSON text (the inside of a literal) with the characters that ``masked`` changes replaced."""
+    pieces = _PIECE.findall(raw)
+    return "".join(p if _decoded(p) == c else c for p, c in zip(pieces, masked))
 
 
 def _reject(name: str):
     raise ValueError(name)
 
 
+_NAME_LITERAL = object()
+
+
+class _Object(list):
+    """The members of a JSON object in order, repeated names too."""
+
+
 def scan_parameters(parameters: str | None, automaton: ahocorasick.Automaton) -> tuple[list[tuple[str, int]], str | None]:
-    """((top-level field, line) of each credential, parameters with the credentials masked)."""
+    """((top-level field, line) of each credential, parameters with the credentials masked).
+
+    All bytes but those of the credentials stay as they are. Members of anything but an object, and
+    text that is no JSON (cut off, say), are scanned all the same, under the empty field name.
+    """
     if not parameters:
         return [], parameters
+    rows: list[tuple[str, int]] = []
     try:
-        value = json.loads(parameters, parse_constant=_reject)
+        value = json.loads(parameters, parse_constant=_reject, object_pairs_hook=_Object)
     except (ValueError, RecursionError):
-        return [], parameters
-    if not isinstance(value, dict):
-        return [], parameters
-    rows: list[tuple[str, int]] = []
-
-    def visit(x, field):
+        text = "".join(map(_decoded, _PIECE.findall(parameters)))
+        spans = text_spans(text, automaton)
+        rows.extend(("", line) for line, _, _ in spans)
+        return rows, _rewrite(parameters, mask(text, [(a, b) for _, a, b in spans])) if spans else parameters
+    changed: dict[int, tuple[str, str]] = {}  # by number of the literal
+    count = 0
+    stack: list[tuple] = [(value, None, "")]
+    while stack:
+        x, field, name = stack.pop()
         if isinstance(x, str):
             spans = text_spans(x, automaton)
-            if not spans:
-                return x
-            rows.extend((field, line) for line, _, _ in spans)
-            return mask(x, [(a, b) for _, a, b in spans])
-        if isinstance(x, list):
-            return [visit(y, field) for y in x]
-        if isinstance(x, dict):
-            return {k: visit(y, field or k) for k, y in x.items()}
-        return x
+            if not spans and name and field != name and " " not in x and _STRONG.search(name) and not _NO_SECRET_NAME.search(name) and _real(x, True, 8):
+                spans = [(1, 0, len(x))]
+            if spans:
+                rows.extend((field or "", line) for line, _, _ in spans)
+                changed[count] = x, mask(x, [(a, b) for _, a, b in spans])
+            count += 1
+        elif isinstance(x, _Object):
+            for k, y in reversed(x):
+                stack.append((y, field or k, k))
+                stack.append((_NAME_LITERAL, None, ""))
+        elif isinstance(x, list):
+            stack.extend((y, field, name) for y in reversed(x))
+        elif x is _NAME_LITERAL:
+            count += 1
+    if not changed:
+        return [], parameters
+    number = iter(range(count + 1))
+
+    def literal(m: re.Match) -> str:
+        found = changed.get(next(number))
+        return '"' + _rewrite(m[0][1:-1], found[1]) + '"' if found else m[0]
 
-    masked = visit(value, None)
-    return (rows, json.dumps(masked, ensure_ascii=False, separators=(",", ":"))) if rows else ([], parameters)
+    return rows, _LITERAL.sub(literal, parameters)
 
 
 def config_value(value: str | None, automaton: ahocorasick.Automaton, is_key: bool) -> list[tuple[int, int]]:
@@ -297,8 +385,7 @@ def config_value(value: str | None, automaton: ahocorasick.Automaton, is_key: bo
 def redact_calls(calls: DataFrame) -> DataFrame:
     """(call_id, parameters, hits array<struct<field_name, line_no>>) of every call row.
 
-    Parameters without a credential, null, empty or unreadable come back as they are; with one they
-    are written as compact JSON with the same members in the same order.
+    Parameters without a credential, null or empty come back as they are, with one all other bytes do.
     """
     shape = "call_id string, parameters string, hits array<struct<field_name:string,line_no:bigint>>"
     kind = pa.list_(pa.struct([("field_name", pa.string()), ("line_no", pa.int64())]))
