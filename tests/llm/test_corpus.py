@@ -65,10 +65,22 @@ def test_permutation():
         assert sorted(p) == list(range(n))
 
 
-def test_slots_within_supply():
-    names, drawn = mixing.plan_slots({"a": 100, "b": 7, "c": 0}, {"a": (0.5, 1), "b": (0.5, 3), "c": (1.0, 1)}, 8)
-    assert names == ["a", "b"] and drawn.sum(0)[1] <= 21 and drawn.sum(0)[0] <= 100 and drawn.sum() == 42
-    assert mixing.plan_slots({}, {"a": (1.0, 1)})[0] == []
+@pytest.mark.parametrize("seed", range(4))
+def test_slots_within_supply(spark, seed):
+    blocks, targets = {"a": 1000, "b": 67, "c": 0, "d": 300}, {"a": (0.5, 1), "b": (0.2, 3), "c": (1.0, 1), "d": (0.3, 1)}
+    plan = mixing.Plan.of(blocks, targets)
+    assert plan.names == ["a", "b", "d"] and plan.total == 1000
+    rows = mixing.draw_slots(spark, plan, 8, seed, 10).collect()
+    assert sorted((r["shard"], r["slot"]) for r in rows) == [(i // 8, i % 8) for i in range(1000)]
+    use = {}
+    for r in rows:
+        assert r["block"] < blocks[r["source"]]
+        use.setdefault((r["source"], r["block"]), set()).add(r["pass_no"])
+    assert sum(map(len, use.values())) == 1000 and all(len(p) <= targets[s][1] for (s, _), p in use.items())
+    assert rows == mixing.draw_slots(spark, plan, 8, seed, 10).collect() or sorted(rows) == sorted(mixing.draw_slots(spark, plan, 8, seed, 10).collect())
+    late = [sum(r["source"] == "b" for r in rows if half == (r["shard"] >= 63)) for half in (False, True)]
+    assert abs(late[0] - late[1]) < 70  # what exceeds the supply leaves all shards alike
+    assert mixing.draw_slots(spark, mixing.Plan.of({}, targets)).count() == 0
 
 
 @pytest.mark.skipif(not Path(mixing.TOKENIZER_FOLDER).exists(), reason="no tokenizer files")

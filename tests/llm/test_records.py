@@ -183,10 +183,22 @@ def test_duplicates_equal_brute_force(spark):
     assert d.duplicate_calls(df.limit(0)).count() == 0
 
 
+def test_filter_lets_few_singletons_through_at_every_size(spark, monkeypatch):
+    """With filters of one segment (16,384 rows at most) 60,000 rows take several ranges; the share shuffled stays small."""
+    monkeypatch.setattr(d, "hashed_calls", lambda rows: rows)
+    hashes = spark.range(60_000).selectExpr("concat('c', id) as call_id", "xxhash64(case when id < 600 then id div 2 else id end) as h1", "xxhash64(case when id < 600 then id div 2 else id end, 7) as h2")
+    for most, n in ((d.SEGMENT, 8), (d.MAX_CELLS, 1)):
+        marked = d.split_by_filter(hashes, most)
+        assert max(1, d.cells_for(60_000) // most) in (n // 2, n)
+        maybe = {r["call_id"] for r in marked.where("maybe").collect()}
+        assert marked.count() == 60_000 and {f"c{i}" for i in range(600)} <= maybe and len(maybe) < 1200
+
+
 def test_filter_merge():
     a = np.zeros(d.SEGMENT // 8, np.uint8)
     a[0] = 0b11000000
-    once, twice = d._merge([a.tobytes(), a.tobytes()], [bytes(len(a)), bytes(len(a))])
+    pack = lambda x: d.zlib.compress(bytes(x), 1)
+    once, twice = map(d._unpack, d._merge([pack(a.tobytes()), pack(a.tobytes())], [pack(bytes(len(a))), pack(bytes(len(a)))]))
     assert once[0] == 0b11000000 and twice[0] == 0b11000000
 
 

@@ -5,9 +5,10 @@ a 128-bit hash of it. Every partition counts hash cells in a saturating two-leve
 (seen once, seen repeatedly); the filters are merged segment by segment. Only records whose cells
 were all seen repeatedly are shuffled for exact grouping; the others are singletons for certain.
 
-The merged filter has at most ``MAX_CELLS`` bits (32 MiB), whatever the size of the data, so it may
-be broadcast. Beyond the size it is made for it lets more singletons through to the exact
-grouping; results stay the same.
+A filter has about ``CELLS_A_ROW`` cells a row, whatever the number of rows, so that it lets through
+few singletons at every size. As one filter may have at most ``MAX_CELLS`` bits (32 MiB) to be
+broadcast, more rows are cut into ranges of their hashes, which no two equal records can straddle;
+each range has its own filter and its own pass over its own files of hashes.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,11 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.durable import cut
+from threadloom.durable import cut, drop_cut
+from threadloom.operators.hierarchy import union_all
 
 MAX_CELLS = 1 << 28
 SEGMENT = 1 << 18
 HASHES = 4
+CELLS_A_ROW = 16
 _NOISE = re.compile(r"[\W_]+")
 
 
@@ -87,26 +91,31 @@ def _cells(h1: np.ndarray, h2: np.ndarray, size: int) -> np.ndarray:
     return np.stack([(a + np.uint64(i) * b) & np.uint64(size - 1) for i in range(HASHES)]).astype(np.int64)
 
 
+def _unpack(bits: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(bits), np.uint8)
+
+
 def _merge(once: list[bytes], twice: list[bytes]) -> tuple[bytes, bytes]:
     one, two = np.zeros(SEGMENT // 8, np.uint8), np.zeros(SEGMENT // 8, np.uint8)
     for o, t in zip(once, twice):
-        o, t = np.frombuffer(o, np.uint8), np.frombuffer(t, np.uint8)
+        o, t = _unpack(o), _unpack(t)
         two |= t | (one & o)
         one |= o
-    return one.tobytes(), two.tobytes()
+    return zlib.compress(one.tobytes(), 1), zlib.compress(two.tobytes(), 1)
 
 
 def repeated_filter(hashes: DataFrame, cells: int) -> np.ndarray:
     """Bitmap of the cells that were hit at least twice over the whole table.
 
-    A row counts each of its cells once. Filters are merged in two rounds so that no task sees more
-    than the square root of all partial filters of one segment.
+    A row counts each of its cells once. A task keeps two bits a cell of the segments it hits and
+    sends them packed, so that its share grows with its rows. Filters are merged in two rounds so that
+    no task sees more than the square root of all partial filters of one segment.
     """
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        hits: dict[int, np.ndarray] = {}
+        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
             h1, h2 = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
             if not len(h1):
@@ -118,13 +127,16 @@ def repeated_filter(hashes: DataFrame, cells: int) -> np.ndarray:
             segment = cell // SEGMENT
             starts = np.flatnonzero(np.r_[True, segment[1:] != segment[:-1]])
             for i, j in zip(starts, [*starts[1:], len(cell)]):
-                seen = hits.setdefault(int(segment[i]), np.zeros(SEGMENT, np.uint8))
+                once, twice = held.setdefault(int(segment[i]), (np.zeros(SEGMENT // 8, np.uint8), np.zeros(SEGMENT // 8, np.uint8)))
                 local = cell[i:j] % SEGMENT
-                seen[local] = np.minimum(2, seen[local] + np.minimum(2, n[i:j]).astype(np.uint8))
+                byte, bit = local // 8, (128 >> (local % 8)).astype(np.uint8)
+                again = (once[byte] & bit > 0) | (n[i:j] > 1)
+                np.bitwise_or.at(twice, byte[again], bit[again])
+                np.bitwise_or.at(once, byte, bit)
         salt = TaskContext.get().partitionId()
-        for segment, seen in hits.items():
+        for segment, (once, twice) in held.items():
             yield pa.RecordBatch.from_arrays(
-                [pa.array([segment], pa.int64()), pa.array([salt], pa.int64()), pa.array([np.packbits(seen >= 1).tobytes()]), pa.array([np.packbits(seen == 2).tobytes()])],
+                [pa.array([segment], pa.int64()), pa.array([salt], pa.int64()), *(pa.array([zlib.compress(x.tobytes(), 1)]) for x in (once, twice))],
                 names=["segment", "salt", "once", "twice"],
             )
 
@@ -141,27 +153,42 @@ def repeated_filter(hashes: DataFrame, cells: int) -> np.ndarray:
     bits = np.zeros(cells // 8, np.uint8)
     for row in merged.select("segment", "twice").toLocalIterator():
         at = row["segment"] * SEGMENT // 8
-        bits[at : at + SEGMENT // 8] = np.frombuffer(row["twice"], np.uint8)
+        bits[at : at + SEGMENT // 8] = _unpack(row["twice"])
     return bits
 
 
-def cells_for(rows: int, most: int = MAX_CELLS) -> int:
-    """A power of two of about sixteen cells a row, within one segment and ``most``."""
-    return min(most, max(SEGMENT, 1 << (16 * max(1, rows) - 1).bit_length()))
+def cells_for(rows: int) -> int:
+    """A power of two of at least ``CELLS_A_ROW`` cells a row, within one segment."""
+    return max(SEGMENT, 1 << (CELLS_A_ROW * max(1, rows) - 1).bit_length())
 
 
-def split_by_filter(hashes: DataFrame, most: int = MAX_CELLS) -> DataFrame:
-    """Adds ``maybe``: false only for rows whose hash occurs once."""
-    spark = hashes.sparkSession
-    cells = cells_for(hashes.count(), most)
-    bits = spark.sparkContext.broadcast(repeated_filter(hashes, cells))
+def _marked(hashes: DataFrame, cells: int) -> tuple[DataFrame, object]:
+    bits = hashes.sparkSession.sparkContext.broadcast(repeated_filter(hashes, cells))
 
     @F.pandas_udf("boolean")
     def maybe(h1: pd.Series, h2: pd.Series) -> pd.Series:
         at = _cells(h1.to_numpy(), h2.to_numpy(), cells)
         return pd.Series(((bits.value[at // 8] >> (7 - at % 8)) & 1).all(axis=0))
 
-    return hashes.withColumn("maybe", maybe("h1", "h2"))
+    return hashes.withColumn("maybe", maybe("h1", "h2")), bits
+
+
+def split_by_filter(calls: DataFrame, most: int = MAX_CELLS) -> DataFrame:
+    """(call_id, h1, h2, maybe) of :func:`hashed_calls`; maybe is false only for rows whose hash occurs once."""
+    hashes = cut(hashed_calls(calls), "hashes")
+    cells = cells_for(hashes.count())
+    if cells <= most:
+        return _marked(hashes, cells)[0]
+    ranges = cells // most
+    ranged = cut(hashes.withColumn("r", F.pmod("h2", F.lit(ranges))), "hash-ranges", "r")
+    drop_cut(hashes)
+    done = []
+    for r in range(ranges):  # one range after the other, so that one filter is held at a time
+        marked, bits = _marked(ranged.where(F.col("r") == r).drop("r"), most)
+        done.append(cut(marked, "marked"))
+        bits.unpersist()
+    drop_cut(ranged)
+    return union_all(done)
 
 
 def _groups(marked: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -177,7 +204,7 @@ def duplicate_calls(calls: DataFrame, most: int = MAX_CELLS) -> DataFrame:
     Rows of one call_id are one call. A group of any size is met by a join with its single group
     row, never gathered. Null call ids, null and unreadable parameters are left out.
     """
-    marked = split_by_filter(cut(hashed_calls(calls), "hashes"), most)
+    marked = split_by_filter(calls, most)
     members, groups = _groups(marked)
     return (
         members.join(groups.where(F.col("n_calls") > 1), ["h1", "h2"])
@@ -189,7 +216,7 @@ def duplicate_calls(calls: DataFrame, most: int = MAX_CELLS) -> DataFrame:
 
 def collapsed_calls(calls: DataFrame, most: int = MAX_CELLS) -> DataFrame:
     """(call_id, n_calls): one row per distinct record, named by its smallest call."""
-    marked = split_by_filter(cut(hashed_calls(calls), "hashes"), most)
+    marked = split_by_filter(calls, most)
     _, groups = _groups(marked)
     single = marked.where(~F.col("maybe")).select("call_id", F.lit(1).cast("bigint").alias("n_calls"))
     return groups.select(F.col("first_call_id").alias("call_id"), "n_calls").unionByName(single)

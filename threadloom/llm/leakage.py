@@ -8,14 +8,16 @@ One Aho-Corasick automaton holds a short word block at every ``BLOCK``-th word o
 of MIN_WORDS words contains a whole block, so each leak is hit. A hit is extended letter by letter in
 both directions against the item and counts if enough whole words match. Documents are scanned once,
 whole, in their own partition. The items are a stated set held by every task: they are read in
-groups of at most ``GROUP_CHARS`` characters, one scan of the documents per group, so the memory of
-a task is bounded whatever their number.
+groups of at most ``GROUP_CHARS`` characters, one scan of the documents per group and one group after
+the other, so the memory of a task and of the driver is bounded whatever their number. A Python worker
+builds the automaton of a group once.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+import uuid
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.durable import spread
+from threadloom.durable import cut, spread
 from threadloom.operators.hierarchy import union_all
 
 MIN_WORDS = 13
@@ -121,6 +123,17 @@ def _among(ordered: list[int], value: int) -> bool:
     return at < len(ordered) and ordered[at] == value
 
 
+_BUILT: dict[str, Items] = {}
+
+
+def _items(key: str, group: list[tuple[int, str]]) -> Items:
+    """The automaton of a group, built once in a worker process; the one before is let go."""
+    if key not in _BUILT:
+        _BUILT.clear()
+        _BUILT[key] = Items(group)
+    return _BUILT[key]
+
+
 def find_leaks(documents: DataFrame, items: DataFrame, group_chars: int = GROUP_CHARS) -> DataFrame:
     """(doc_id, item_id, n_words, start_at, end_at): every item that a document gives away.
 
@@ -128,29 +141,29 @@ def find_leaks(documents: DataFrame, items: DataFrame, group_chars: int = GROUP_
     nothing; items of fewer than MIN_WORDS words cannot leak; repeated rows repeat their result
     unless the caller makes them distinct. No item: an empty result.
     """
-    groups: list[list[tuple[int, str]]] = [[]]
-    size = 0
-    for row in items.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", "text").orderBy("item_id").toLocalIterator():
-        if groups[-1] and size + len(row["text"]) > group_chars:
-            groups.append([])
-            size = 0
-        groups[-1].append((row["item_id"], row["text"]))
-        size += len(row["text"])
     shape = "doc_id bigint, item_id bigint, n_words bigint, start_at bigint, end_at bigint"
-    src = documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("bigint"), "text")
-
-    src = spread(src)
+    src = spread(documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("bigint"), "text"))
 
-    def scan(group: list[tuple[int, str]]) -> DataFrame:
-        held = documents.sparkSession.sparkContext.broadcast(group)
+    def scan(group: list[tuple[int, str]]) -> tuple[DataFrame, object]:
+        held = documents.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, group))  # at most group_chars characters, or one item
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known = Items(held.value)
+            known = _items(*held.value)
             for batch in batches:
                 rows = [(d, *hit) for d, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for hit in known.leaks(text)]
                 cols = list(zip(*rows)) if rows else [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=[x.split()[0] for x in shape.split(", ")])
 
-        return src.mapInArrow(run, shape)
-
-    return union_all([scan(g) for g in groups])
+        return src.mapInArrow(run, shape), held
+
+    usable = items.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", "text").orderBy("item_id")
+    done, group, size = [], [], 0
+    for row in usable.toLocalIterator():
+        if group and size + len(row["text"]) > group_chars:  # more groups follow: this one is scanned now
+            found, held = scan(group)
+            done.append(cut(found, "leaks"))
+            held.destroy()
+            group, size = [], 0
+        group.append((row["item_id"], row["text"]))
+        size += len(row["text"])
+    return union_all([*done, scan(group)[0]])

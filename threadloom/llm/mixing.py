@@ -1,8 +1,8 @@
 """Mixing sources to target weights, measured in tokens of a public tokenizer.
 
 The tokens of each source are packed, in an order drawn by hash, into blocks of ``BLOCK_TOKENS`` that
-hold the token ids themselves. The mix is a row of output shards of ``SHARD_SLOTS`` slots; the slots of a shard are given to sources by one
-multinomial draw. The i-th slot of a source takes block perm(i mod n) in the (i div n)-th pass over
+hold the token ids themselves. The mix is a row of output shards of ``SHARD_SLOTS`` slots; the slots of a
+shard are given to sources by one multinomial draw, made in Spark over ranges of shards. The i-th slot of a source takes block perm(i mod n) in the (i div n)-th pass over
 its n blocks, with one pseudorandom permutation per source and pass, and slots are joined with
 blocks by (source, block).
 
@@ -16,14 +16,14 @@ import base64
 import os
 from array import array
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from threadloom.durable import cut, spread
+from threadloom.durable import cut, drop_cut, spread
 
 TOKENIZER_FOLDER = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -35,6 +35,9 @@ BUCKET_DOCS = 20_000
 #: Documents whose tokens are held at once.
 BATCH_DOCS = 512
 MAX_SOURCES = 10_000
+#: Shards that one task draws for.
+RANGE_SHARDS = 4096
+BATCH_SLOTS = 100_000
 
 
 def source_name(c: str | Column) -> Column:
@@ -125,42 +128,77 @@ def pack(counts: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     )
 
 
-def plan_slots(blocks: dict[str, int], targets: dict[str, tuple[float, int]], shard_slots: int = SHARD_SLOTS, seed: int = 1) -> tuple[list[str], np.ndarray]:
-    """(sources, counts[shard, source]): the multinomial draws, within what each source can give.
-
-    The mix is as large as the shares allow: the source that runs out first sets the total. Draws
-    above a source's supply move to sources with supply left, those furthest below their share
-    first, so no block is used more than max_repeats times.
-    """
-    names = sorted(s for s in targets if blocks.get(s, 0) > 0)
-    if not names:
-        return [], np.zeros((0, 0), np.int64)
-    share = np.array([targets[s][0] for s in names])
-    share = share / share.sum()
-    supply = np.array([blocks[s] * targets[s][1] for s in names])
-    total = max(1, int((supply / share).min()))
-    sizes = np.full(-(-total // shard_slots), shard_slots)
-    sizes[-1] = total - shard_slots * (len(sizes) - 1)
-    drawn = np.random.default_rng(seed).multinomial(sizes, share).astype(np.int64)
-    over = np.maximum(drawn.sum(0) - supply, 0)
-    for s in np.flatnonzero(over):
-        shard = len(sizes) - 1
-        while over[s] > 0:
-            take = min(over[s], drawn[shard, s])
-            drawn[shard, s] -= take
-            over[s] -= take
-            while take > 0:
-                room = supply - drawn.sum(0)
-                room[over > 0] = 0
-                if room.max() <= 0:
-                    break
-                gap = np.where(room > 0, share * total - drawn.sum(0), -np.inf)
-                to = int(gap.argmax())
-                n = min(take, room[to], max(1, int(gap[to])))
-                drawn[shard, to] += n
-                take -= n
-            shard -= 1
-    return names, drawn
+@dataclass
+class Plan:
+    """What the draws go by: sources in order, their shares, blocks and repeats, and the slots in all."""
+
+    names: list[str]
+    share: np.ndarray
+    blocks: np.ndarray
+    supply: np.ndarray
+    total: int
+
+    @staticmethod
+    def of(blocks: dict[str, int], targets: dict[str, tuple[float, int]]) -> Plan:
+        """The mix is as large as the shares allow: the source that runs out first sets the total."""
+        names = sorted(s for s in targets if blocks.get(s, 0) > 0)
+        share = np.array([targets[s][0] for s in names])
+        n = np.array([blocks[s] for s in names], np.int64)
+        supply = n * np.array([targets[s][1] for s in names], np.int64)
+        share = share / share.sum() if names else share
+        return Plan(names, share, n, supply, max(1, int((supply / share).min())) if names else 0)
+
+
+def draw(shards: range, plan: Plan, shard_slots: int, seed: int) -> np.ndarray:
+    """counts[shard, source] of one range of shards, by a generator of its own; only the last shard of all may be short."""
+    at = np.arange(shards.start, shards.stop, dtype=np.int64)
+    sizes = np.minimum(shard_slots, plan.total - at * shard_slots)
+    return np.random.default_rng([seed, shards.start]).multinomial(sizes, plan.share).astype(np.int64)
+
+
+@dataclass
+class Moves:
+    """How draws above a source's supply go to others: ``over`` of ``drawn`` draws leave a source, chosen
+    over all shards by a pseudorandom permutation; the j-th of all that leave, permuted again, goes to
+    the source whose part of range(sum(over)) holds it."""
+
+    drawn: np.ndarray
+    over: np.ndarray
+    taken: np.ndarray
+
+    @staticmethod
+    def of(drawn: np.ndarray, plan: Plan) -> Moves:
+        over = np.maximum(drawn - plan.supply, 0)
+        room = np.maximum(plan.supply - drawn, 0)
+        taken = np.minimum(room, np.maximum(np.floor(plan.share * plan.total).astype(np.int64) - drawn, 0))
+        left = int(over.sum() - taken.sum())
+        if left < 0:  # more is missing than leaves: each gets its part of it
+            taken = taken * int(over.sum()) // max(1, int(taken.sum()))
+            left = int(over.sum() - taken.sum())
+        for s in np.argsort(-(room - taken), kind="stable"):
+            more = min(left, int(room[s] - taken[s]))
+            taken[s] += more
+            left -= more
+        return Moves(drawn, over, taken)
+
+    def apply(self, source: np.ndarray, i: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+        """(source, index in it) of the i-th draws of the sources."""
+        source, i = source.copy(), i.copy()
+        hit = np.flatnonzero(self.over[source])
+        if len(hit):
+            s = source[hit]
+            q = permuted(i[hit], self.drawn[s], seed * 7919 + s)
+            stay = q >= self.over[s]
+            i[hit[stay]] = (q - self.over[s])[stay]
+            leaves = hit[~stay]
+            first = np.cumsum(self.over) - self.over
+            n = int(self.over.sum())
+            j = permuted((first[s] + q)[~stay], np.full(len(leaves), n), np.full(len(leaves), seed * 104_729 + 1))
+            ends = np.cumsum(self.taken)
+            to = np.searchsorted(ends, j, side="right")
+            source[leaves] = to
+            i[leaves] = self.drawn[to] + j - (ends - self.taken)[to]
+        return source, i
 
 
 def permuted(index: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -191,32 +229,64 @@ def mix(documents: DataFrame, targets: DataFrame, folder: str = TOKENIZER_FOLDER
     wanted = read_targets(targets)
     counts = cut(token_ids(documents, folder), "token-ids")
     blocks = cut(pack(counts.where(F.col("source").isin(list(wanted))) if wanted else counts.limit(0), block_tokens), "token-blocks")
+    drop_cut(counts)
     n_blocks = {r["source"]: r["n"] for r in blocks.groupBy("source").agg(F.count("*").alias("n")).collect()}
-    names, drawn = plan_slots(n_blocks, wanted, shard_slots, seed)
-    before = np.cumsum(drawn, 0) - drawn
-    inside = np.cumsum(drawn, 1) - drawn
-    rows = [
-        (shard, name, int(drawn[shard, s]), int(before[shard, s]), int(inside[shard, s]), n_blocks[name], s)
-        for shard in range(len(drawn))
-        for s, name in enumerate(names)
-        if drawn[shard, s]
-    ]
-    plan = spark.createDataFrame(rows, "shard bigint, source string, n bigint, first_index bigint, first_slot bigint, n_blocks bigint, source_no bigint")
-
-    @F.pandas_udf("bigint")
-    def place(index: pd.Series, n: pd.Series, key: pd.Series) -> pd.Series:
-        with np.errstate(over="ignore"):
-            return pd.Series(permuted(index.to_numpy(), n.to_numpy(), key.to_numpy()))
-
-    slots = plan.select("*", F.explode(F.expr("sequence(0L, n - 1)")).alias("j")).select(
-        "shard", "source", "n_blocks", "source_no", (F.col("first_slot") + F.col("j")).alias("slot"), (F.col("first_index") + F.col("j")).alias("i")
-    )
-    slots = slots.select("shard", "slot", "source", F.expr("i div n_blocks").alias("pass_no"), F.expr("i % n_blocks").alias("at"), "n_blocks", "source_no")
-    key = F.lit(seed * 1_000_003) + F.col("source_no") * 65_537 + F.col("pass_no")
-    slots = slots.select("shard", "slot", "source", "pass_no", place("at", "n_blocks", key).alias("block"))
+    slots = draw_slots(spark, Plan.of(n_blocks, wanted), shard_slots, seed)
     return slots.join(blocks, ["source", "block"]), blocks
 
 
+def draw_slots(spark: SparkSession, plan: Plan, shard_slots: int = SHARD_SLOTS, seed: int = 1, range_shards: int = RANGE_SHARDS) -> DataFrame:
+    """(shard, slot, source, pass_no, block) of every slot of the mix.
+
+    A task draws for a range of shards; where the draws of a source begin in its range is a running
+    sum over one row per range and source. Draws depend on seed and range only, so a lost task is drawn
+    again alike. The driver holds one row per source.
+    """
+    n_shards = -(-plan.total // shard_slots)
+    n_ranges = -(-n_shards // range_shards)
+    held = spark.sparkContext.broadcast(plan)  # at most MAX_SOURCES rows
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.column(0).to_pylist():
+                shards = range(r * range_shards, min((r + 1) * range_shards, n_shards))
+                n = draw(shards, held.value, shard_slots, seed)
+                shard, source = np.nonzero(n)
+                before, inside = np.cumsum(n, 0) - n, np.cumsum(n, 1) - n
+                cols = [np.full(len(shard), r), shard + shards.start, source, n[shard, source], before[shard, source], inside[shard, source]]
+                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], names=["range_no", "shard", "source_no", "n", "before", "first_slot"])
+
+    drawn = spark.range(0, n_ranges, 1, max(1, min(n_ranges, int(spark.conf.get("spark.sql.shuffle.partitions"))))).mapInArrow(counts, "range_no bigint, shard bigint, source_no bigint, n bigint, before bigint, first_slot bigint")
+    sums = drawn.groupBy("range_no", "source_no").agg(F.sum("n").alias("n"))
+    earlier = Window.partitionBy("source_no").orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select("range_no", "source_no", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))
+    per_source = np.zeros(len(plan.names), np.int64)
+    for row in sums.groupBy("source_no").agg(F.sum("n").alias("n")).collect():
+        per_source[row["source_no"]] = row["n"]
+    moves = spark.sparkContext.broadcast(Moves.of(per_source, plan))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plan, names = held.value, np.array(held.value.names, object)
+        for batch in batches:
+            shard, source, n, first, slot = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(5))
+            at = 0
+            while at < len(n):  # about BATCH_SLOTS slots at once
+                to = max(at + 1, at + int(np.searchsorted(np.cumsum(n[at:]), BATCH_SLOTS)))
+                some, at = slice(at, to), to
+                each = np.repeat(np.arange(len(n[some])), n[some])
+                j = np.arange(len(each)) - np.repeat(np.cumsum(n[some]) - n[some], n[some])
+                with np.errstate(over="ignore"):
+                    s, i = moves.value.apply(source[some][each], first[some][each] + j, seed)
+                    turn, where = i // plan.blocks[s], i % plan.blocks[s]
+                    block = permuted(where, plan.blocks[s], seed * 1_000_003 + s * 65_537 + turn)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(shard[some][each]), pa.array(slot[some][each] + j), pa.array(names[s], pa.string()), pa.array(turn), pa.array(block)], names=["shard", "slot", "source", "pass_no", "block"]
+                )
+
+    rows = drawn.join(starts, ["range_no", "source_no"]).select("shard", "source_no", "n", (F.col("start") + F.col("before")).alias("first"), "first_slot")
+    return rows.mapInArrow(place, "shard bigint, slot bigint, source string, pass_no bigint, block bigint")
+
+
 def shares(mixed: DataFrame, blocks: DataFrame, targets: DataFrame) -> DataFrame:
     """Per target source: its target, the share scaled to 1, what it offers and what the mix really holds."""
     wanted = read_targets(targets)
