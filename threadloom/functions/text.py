@@ -168,10 +168,14 @@ def tool_name_protected(tool: Column, patterns: list[str]) -> Column:
 
 
 def parameter_paths(tool: Column, parameters: Column) -> Column:
-    """Distinct non-empty file paths named by a call's parameters."""
+    """Distinct non-empty file paths named by a call's parameters: of a patch its file headers, of an
+    edit list its own path and its edits', else filePath and path."""
+    none = F.array().cast("array<string>")
     single = F.array(F.get_json_object(parameters, "$.filePath"), F.get_json_object(parameters, "$.path"))
     patch = F.regexp_extract_all(F.get_json_object(parameters, "$.patchText"), F.lit(r"(?m)^\*\*\* (?:Add|Update|Delete) File: (.+)$"), F.lit(1))
-    paths = F.when(tool == "apply_patch", F.coalesce(patch, F.array().cast("array<string>"))).otherwise(single)
+    edits = F.transform(F.from_json(F.get_json_object(parameters, "$.edits"), "array<struct<filePath:string>>"), lambda e: e["filePath"])
+    listed = F.concat(F.array(F.get_json_object(parameters, "$.filePath")), F.coalesce(edits, none))
+    paths = F.when(tool == "apply_patch", F.coalesce(patch, none)).when(tool == "multiedit", listed).otherwise(single)
     return F.array_distinct(F.filter(F.transform(paths, lambda p: F.trim(p)), lambda p: p.isNotNull() & (p != "")))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from threadloom.functions import text as fx
+
 
 def replay(blocks: DataFrame, live: DataFrame) -> DataFrame:
     """Adds eligible, now_active and killer (the block that deactivated it) to the blocks.
@@ -64,3 +66,29 @@ def compressed_view(messages: DataFrame, replayed: DataFrame) -> DataFrame:
         .select("session_id", (F.col("seq") * 2 - 1).alias("pos"), F.concat(F.lit("msg_"), F.substring(F.sha2(seed, 256), 1, 16)).alias("id"), F.lit("summary").alias("kind"))
     )
     return kept.unionByName(summaries)
+
+
+def resolve_boundaries(blocks: DataFrame, refs: DataFrame, live: DataFrame) -> DataFrame:
+    """Adds s_seq, e_seq (places of both ends) and problem to the blocks.
+
+    refs: session_id, id, n (message references); live: session_id, id, seq. A reference to a message
+    names the message; one to a block names the place of that block's anchor. problem: invalid (no
+    reference at all), unknown (refers to nothing), gone (its message is not live), reversed (ends before
+    it starts), else ok.
+    """
+    by_message = refs.join(live, ["session_id", "id"], "left").select("session_id", F.lit("message").alias("kind"), "n", "seq")
+    anchors = live.withColumnRenamed("id", "anchor_message_id")
+    by_block = blocks.select("session_id", "block_id", "anchor_message_id").join(anchors, ["session_id", "anchor_message_id"], "left").select("session_id", F.lit("block").alias("kind"), F.col("block_id").alias("n"), "seq")
+    known = by_message.unionByName(by_block)
+    out = blocks.withColumn("s", fx.boundary(F.col("start_id"))).withColumn("e", fx.boundary(F.col("end_id")))
+    for end in "se":
+        side = known.select("session_id", *[F.col(c).alias(f"{end}_{c}") for c in ("kind", "n", "seq")], F.lit(True).alias(f"{end}_ref"))
+        out = out.withColumns({f"{end}_kind": F.col(f"{end}.kind"), f"{end}_n": F.col(f"{end}.n")}).join(side, ["session_id", f"{end}_kind", f"{end}_n"], "left")
+    problem = (
+        F.when(F.col("s").isNull() | F.col("e").isNull(), "invalid")
+        .when(F.col("s_ref").isNull() | F.col("e_ref").isNull(), "unknown")
+        .when(F.col("s_seq").isNull() | F.col("e_seq").isNull(), "gone")
+        .when(F.col("s_seq") > F.col("e_seq"), "reversed")
+        .otherwise("ok")
+    )
+    return out.withColumn("problem", problem).drop("s", "e", "s_ref", "e_ref")

@@ -6,9 +6,10 @@ depth D need ceil(log2 D) + 1 rounds. A round in which no pointer reaches a root
 still-open pointers run in circles (if a tree node at depth >= 2^k were open, so would be its
 ancestors at the depths that this round resolves).
 
-Each round joins the open pointers with the whole pointer table on the unique node id. A parent
-that owns a large share of the rows makes the open side skewed; adaptive execution splits that
-partition because the other side has one row per key. A finished row never enters a join again.
+Each round joins the open pointers with the whole pointer table on the unique node id and writes the
+moved ones only; rows that are resolved stay in the table of their round. A parent that owns a large
+share of the rows makes the open side skewed; adaptive execution splits that partition because the
+other side has one row per key.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.durable import cut, drop_cut
+from threadloom.durable import cut
 
 
 def _blank_to_null(c: Column) -> Column:
@@ -51,31 +52,24 @@ def resolve_hierarchy(links: DataFrame, max_rounds: int = 64) -> DataFrame:
     empty input gives an empty result.
     """
     ids = links.select(F.col("node").alias("known"))
-    state = cut(
-        links.join(ids, F.col("parent") == F.col("known"), "left").select(
-            "node",
-            "parent",
-            F.col("known").alias("at"),
-            F.array("node").alias("path"),
-        ),
+    first = cut(
+        links.join(ids, F.col("parent") == F.col("known"), "left").select("node", "parent", F.col("known").alias("at"), F.array("node").alias("path")),
         "hierarchy",
     )
-    still = state.where(F.col("at").isNotNull()).count()
+    open_rows, resolved = first.where(F.col("at").isNotNull()), [first.where(F.col("at").isNull())]
+    still = open_rows.count()
     for _ in range(max_rounds):
         if not still:
             break
-        hop = state.select(F.col("node").alias("h_node"), F.col("at").alias("h_at"), F.col("path").alias("h_path"))
-        moved = (
-            state.where(F.col("at").isNotNull())
-            .join(hop, F.col("at") == F.col("h_node"))
-            .select("node", "parent", F.col("h_at").alias("at"), F.concat("h_path", "path").alias("path"))
-        )
-        after = cut(state.where(F.col("at").isNull()).unionByName(moved), "hierarchy")
-        drop_cut(state)
-        state = after
-        before, still = still, state.where(F.col("at").isNotNull()).count()
+        every = union_all([*resolved, open_rows])
+        hop = every.select(F.col("node").alias("h_node"), F.col("at").alias("h_at"), F.col("path").alias("h_path"))
+        moved = cut(open_rows.join(hop, F.col("at") == F.col("h_node")).select("node", "parent", F.col("h_at").alias("at"), F.concat("h_path", "path").alias("path")), "hierarchy")
+        open_rows = moved.where(F.col("at").isNotNull())
+        resolved.append(moved.where(F.col("at").isNull()))
+        before, still = still, open_rows.count()
         if still == before:
             break
+    state = union_all([*resolved, open_rows])
     looped = F.col("at").isNotNull()
     return state.select(
         "node",

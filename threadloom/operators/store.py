@@ -26,23 +26,18 @@ def role_name(c: str | Column) -> Column:
     return F.when(t.isin("user", "assistant"), t)
 
 
-def latest_states(states: DataFrame) -> DataFrame:
+def latest_states(states: DataFrame, *columns: str) -> DataFrame:
     """The counting snapshot per session: the row with the greatest last_updated.
 
-    Times that cannot be read lose. Ties go to the earliest synced_at, then to the greatest text.
-    Sessions without id are left out.
+    Columns: session_id, updated, synced_at and those named; no others are read or shuffled. Times that
+    cannot be read lose. Ties go to the earliest synced_at, then to the greatest texts in the order
+    named. Sessions without id are left out.
     """
-    own = states.select(
-        "session_id",
-        F.expr("try_to_timestamp(last_updated)").alias("updated"),
-        F.struct("synced_at", "prune_messages", "message_ids", "last_updated").alias("s"),
-    ).where(F.col("session_id").isNotNull())
     rank = F.struct(
-        F.col("updated"),
-        -F.coalesce(F.expr("unix_micros(cast(s.synced_at as timestamp))"), F.lit(0)),
-        F.col("s.prune_messages"),
-        F.col("s.message_ids"),
-    )
-    return own.groupBy("session_id").agg(F.max_by(F.struct("updated", "s"), rank).alias("m")).select(
-        "session_id", F.col("m.updated").alias("updated"), "m.s.*"
+        F.expr("try_to_timestamp(last_updated)").alias("updated"),
+        (-F.coalesce(F.expr("unix_micros(cast(synced_at as timestamp))"), F.lit(0))).alias("early"),
+        *columns,
+        "synced_at",
     )
+    own = states.where(F.col("session_id").isNotNull()).select("session_id", rank.alias("m"))
+    return own.groupBy("session_id").agg(F.max("m").alias("m")).select("session_id", "m.updated", "m.synced_at", *[f"m.{c}" for c in columns])

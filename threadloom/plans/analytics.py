@@ -75,7 +75,7 @@ _sql("project_sessions", "select project_id, count(*) as n_sessions, count(*) fi
 def session_messages(spark, d):
     """Messages with the parts attached to them, none included."""
     m = views.messages(spark, d)
-    p = views.parts(spark, d).groupBy("message_id").agg(F.count("*").alias("n"), F.count_if(F.col("type") == "tool").alias("nt"), F.min("pt").alias("first_part"))
+    p = views.parts(spark, d, "type").groupBy("message_id").agg(F.count("*").alias("n"), F.count_if(F.col("type") == "tool").alias("nt"), F.min("pt").alias("first_part"))
     return m.join(p, m["id"] == p["message_id"], "left").select(
         "session_id", "seq", "id", "role", F.coalesce("n", F.lit(0)).alias("n_parts"), F.coalesce("nt", F.lit(0)).alias("n_tools"), "first_part"
     )
@@ -109,12 +109,13 @@ select w.ord::bigint as ord, w.id as wanted, m.id is not null as found, m.sessio
 
 def _message_facts(spark, d) -> DataFrame:
     """Per message: what its parts are, for the predicates."""
-    p = views.parts(spark, d)
+    said = F.coalesce(F.col("text").rlike(r"\S"), F.lit(False))
+    p = views.parts(spark, d, "type", "status", "ignored", said=said, has_output=F.col("output").isNotNull())
     text = F.col("type") == "text"
-    seen = text & ~F.col("ignored") & F.coalesce(F.col("text").rlike(r"\S"), F.lit(False))
+    seen = text & ~F.col("ignored") & F.col("said")
     return p.groupBy("message_id").agg(
         F.count("*").alias("n_parts"), F.count_if("ignored").alias("n_ignored"), F.count_if(text).alias("n_text"), F.count_if(text & F.col("ignored")).alias("n_ignored_text"),
-        F.count_if(seen).alias("n_seen"), F.count_if((F.col("type") == "tool") & (F.col("status") == "completed") & F.col("output").isNotNull()).alias("n_done"),
+        F.count_if(seen).alias("n_seen"), F.count_if((F.col("type") == "tool") & (F.col("status") == "completed") & F.col("has_output")).alias("n_done"),
     )
 
 
@@ -166,7 +167,7 @@ from m left join f on f.message_id = m.id where role = 'user' group by 1 having
 
 
 def _steps(spark, d) -> DataFrame:
-    p = views.parts(spark, d).where((F.col("type") == "step-finish") & F.col("has_tokens"))
+    p = views.parts(spark, d, "type", "has_tokens", "reason", "input", "output_tokens", "reasoning", "cache_read", "cache_write", "cost_micro").where((F.col("type") == "step-finish") & F.col("has_tokens"))
     m = views.messages(spark, d, False).select(F.col("id").alias("mid"))
     return p.join(m, p["message_id"] == m["mid"], "left_semi")
 
@@ -216,8 +217,9 @@ from (select session_id, {_SUMS} from steps group by 1)""",
 
 def _message_tokens(spark, d) -> DataFrame:
     """Messages with the tokens of their joined texts (one separator between two)."""
-    p = views.parts(spark, d).where((F.col("type") == "text") & ~F.col("ignored") & F.col("text").isNotNull())
-    p = p.groupBy("message_id").agg((F.sum(F.length("text")) + F.count("*") - 1).alias("chars"))
+    said = (F.col("type") == "text") & ~F.col("ignored")
+    p = views.parts(spark, d, size=F.when(said, F.length("text"))).where(F.col("size").isNotNull())
+    p = p.groupBy("message_id").agg((F.sum("size") + F.count("*") - 1).alias("chars"))
     m = views.messages(spark, d)
     return m.join(p, m["id"] == p["message_id"], "left").withColumn("tokens", F.coalesce(F.round(F.col("chars") / 4).cast("bigint"), F.lit(0)))
 
@@ -284,8 +286,8 @@ def context_breakdown(spark, d):
         F.min_by(F.when(user, F.col("tokens")), F.when(user, F.col("seq"))).alias("first_user"),
         F.sum(F.when(user, F.col("tokens")).otherwise(0)).alias("user_tokens"),
     )
-    c = views.calls(spark, d).select("call_id", F.length("parameters").alias("n_in"))
-    p = views.parts(spark, d).where((F.col("type") == "tool") & F.col("call_id").isNotNull()).select("session_id", "call_id", F.when(F.col("status") == "completed", F.length("output")).alias("n_out"))
+    c = views.calls(spark, d, n_in=F.length("parameters")).select("call_id", "n_in")
+    p = views.parts(spark, d, "type", "call_id", n_out=F.when(F.col("status") == "completed", F.length("output"))).where((F.col("type") == "tool") & F.col("call_id").isNotNull()).select("session_id", "call_id", "n_out")
     tools = p.join(c, "call_id", "left").groupBy("session_id").agg(F.count("*").alias("n_tools"), F.round((F.coalesce(F.sum("n_in"), F.lit(0)) + F.coalesce(F.sum("n_out"), F.lit(0))) / 4).cast("bigint").alias("tool_tokens"))
     out = per.join(tools, "session_id", "left").na.fill(0, ["total", "n_tools", "tool_tokens", "first_user"])
     out = out.withColumn("system_tokens", F.greatest(F.coalesce(F.col("first_prompt") - F.col("first_user"), F.lit(0)), F.lit(0)))
@@ -385,7 +387,7 @@ _sql(
 
 
 def _context_steps(spark, d) -> DataFrame:
-    p = views.parts(spark, d).where((F.col("type") == "tool") & F.lower(F.trim("tool")).isin(CONTEXT_TOOLS))
+    p = views.parts(spark, d, "type", "tool").where((F.col("type") == "tool") & F.lower(F.trim("tool")).isin(CONTEXT_TOOLS))
     tools = p.groupBy("message_id").agg(F.count_if(F.lower(F.trim("tool")) == CONTEXT_TOOLS[0]).alias("n0"), F.count_if(F.lower(F.trim("tool")) == CONTEXT_TOOLS[1]).alias("n1"))
     a = _answers(spark, d)
     return a.join(tools, a["id"] == tools["message_id"], "left").na.fill(0, ["n0", "n1"])
@@ -445,13 +447,17 @@ from h where distance < 15 group by 1""",
 # ---- tool calls --------------------------------------------------------------------------------
 
 
-def superseded_calls(calls: DataFrame) -> DataFrame:
+def signed_calls(spark, d) -> DataFrame:
+    return views.calls(spark, d, sig=F.md5(fx.signature(F.col("tool"), F.col("parameters"))))
+
+
+def superseded_calls(calls: DataFrame, protected: list[str] = PROTECTED) -> DataFrame:
     """Calls with a later call of the same signature in their session; protected tools are kept.
 
     The latest call of a group is found by aggregation, so a group of any size shrinks to one row per
-    task before the shuffle.
+    task before the shuffle. ``calls`` holds ``sig``, 128 bits of the signature (:func:`signed_calls`).
     """
-    own = calls.where(~fx.tool_name_protected(F.col("tool"), PROTECTED)).withColumn("sig", F.xxhash64(fx.signature(F.col("tool"), F.col("parameters")))).drop("parameters")
+    own = calls.where(~fx.tool_name_protected(F.col("tool"), protected))
     last = own.groupBy("session_id", "sig").agg(F.max(F.struct("seen_at", "call_id")).alias("last"))
     return own.join(last, ["session_id", "sig"]).where(F.col("call_id") != F.col("last.call_id"))
 
@@ -459,7 +465,7 @@ def superseded_calls(calls: DataFrame) -> DataFrame:
 @query
 def dedup_latest(spark, d):
     """Calls pruned because a later one in the session repeats them."""
-    return superseded_calls(views.calls(spark, d)).select("session_id", "call_id", "tool", "token_count")
+    return superseded_calls(signed_calls(spark, d)).select("session_id", "call_id", "tool", "token_count")
 
 
 _DEDUP = """, sig as (
@@ -518,7 +524,7 @@ def sweep_since_user(spark, d):
     m = views.messages(spark, d).select("session_id", "id", "seq", "role")
     last = m.where(F.col("role") == "user").groupBy("session_id").agg(F.max("seq").alias("last_user"))
     after = m.join(last, "session_id", "left").where(F.col("seq") > F.coalesce("last_user", F.lit(-1))).select(F.col("id").alias("message_id"), F.col("session_id").alias("sid"))
-    p = views.parts(spark, d).where((F.col("type") == "tool") & F.col("call_id").isNotNull() & F.col("tool").isNotNull())
+    p = views.parts(spark, d, "type", "call_id", "tool").where((F.col("type") == "tool") & F.col("call_id").isNotNull() & F.col("tool").isNotNull())
     return p.join(after, "message_id").select(F.col("sid").alias("session_id"), "message_id", "call_id")
 
 
@@ -541,9 +547,9 @@ _sql("tool_errors", "select tool, status, count(*) as n, sum(token_count)::bigin
 @query
 def prune_outputs(spark, d):
     """Completed outputs replaced because their call is pruned; edits and writes are exempt."""
-    pruned = superseded_calls(views.calls(spark, d)).select("call_id")
-    p = views.parts(spark, d).where((F.col("type") == "tool") & (F.col("status") == "completed") & ~F.lower(F.trim("tool")).isin("edit", "write", "question"))
-    return p.join(pruned, "call_id", "left_semi").select("id", "call_id", F.lit("[output removed]").alias("output"), F.length("output").alias("n_removed"))
+    pruned = superseded_calls(signed_calls(spark, d)).select("call_id")
+    p = views.parts(spark, d, "type", "status", "tool", "call_id", n_removed=F.length("output")).where((F.col("type") == "tool") & (F.col("status") == "completed") & ~F.lower(F.trim("tool")).isin("edit", "write", "question"))
+    return p.join(pruned, "call_id", "left_semi").select("id", "call_id", F.lit("[output removed]").alias("output"), "n_removed")
 
 
 _sql(
@@ -557,7 +563,7 @@ _sql(
 def prune_errors(spark, d):
     """Top-level text members of the inputs of purged failed calls, which are replaced."""
     gone = QUERIES["purge_errors"](spark, d).select("call_id")
-    c = views.calls(spark, d).select("call_id", F.from_json("parameters", "map<string,variant>").alias("m"), F.try_parse_json("parameters").alias("v"))
+    c = views.calls(spark, d, "parameters").select("call_id", F.from_json("parameters", "map<string,variant>").alias("m"), F.try_parse_json("parameters").alias("v"))
     kept = F.map_filter("m", lambda k, v: F.schema_of_variant(v) == "STRING")
     return c.join(gone, "call_id", "left_semi").where(F.col("v").isNotNull()).select("call_id", F.size(kept).cast("bigint").alias("n_replaced"), F.size("m").cast("bigint").alias("n_members"))
 

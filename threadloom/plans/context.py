@@ -80,7 +80,7 @@ where role = 'user' and before = 'assistant' and seq > coalesce(cut, -1)""",
 
 def _refs(spark, d) -> DataFrame:
     """(session_id, id, n) of the references in the counting snapshots."""
-    s = latest_states(load(spark, d, "session_states")).select("session_id", F.from_json("message_ids", "byRef map<string,string>").alias("m"))
+    s = latest_states(load(spark, d, "session_states"), "message_ids").select("session_id", F.from_json("message_ids", "byRef map<string,string>").alias("m"))
     rows = s.select("session_id", F.explode("m.byRef").alias("ref", "id")).select("session_id", "id", fx.parse_message_ref(F.col("ref")).alias("n"))
     return rows.where(F.col("n").isNotNull() & F.col("id").isNotNull()).groupBy("session_id", "id").agg(F.min("n").alias("n"))
 
@@ -150,7 +150,7 @@ def stale_metadata(spark, d):
     m = views.messages(spark, d, False)
     last = m.where(F.col("role") == "user").groupBy("session_id").agg(F.max_by("model", F.struct("t", "id")).alias("asked"))
     old = m.where(F.col("role") == "assistant").join(last, "session_id").where(F.col("model") != F.col("asked")).select("session_id", F.col("id").alias("message_id"), "model", "asked")
-    p = views.parts(spark, d).where(F.col("has_metadata") & F.col("type").isin("text", "tool")).select("id", "message_id")
+    p = views.parts(spark, d, "type", "has_metadata").where(F.col("has_metadata") & F.col("type").isin("text", "tool")).select("id", "message_id")
     return p.join(old, "message_id").select("session_id", "message_id", "id", "model", "asked")
 
 
@@ -197,7 +197,7 @@ def range_texts(spark, d):
     cells = _ranges(spark, d).withColumn("cell", F.explode(F.sequence(F.floor((F.col("lo") - 1) / BUCKET), F.floor((F.col("hi") - 1) / BUCKET))))
     m = views.messages(spark, d).select("session_id", "id", "seq", F.floor(F.col("seq") / BUCKET).alias("cell"))
     hit = cells.join(m, ["session_id", "cell"]).where(F.col("seq").between(F.col("lo") - 1, F.col("hi") - 1))
-    p = views.parts(spark, d).where((F.col("type") == "text") & F.col("text").isNotNull()).select("message_id", F.coalesce("pt", F.lit(0)).alias("pt"), F.col("id").alias("part_id"), "text")
+    p = views.parts(spark, d, "type", text=F.when(F.col("type") == "text", F.col("text"))).where(F.col("text").isNotNull()).select("message_id", F.coalesce("pt", F.lit(0)).alias("pt"), F.col("id").alias("part_id"), "text")
     said = hit.join(p, hit["id"] == p["message_id"]).groupBy("session_id", "block_id").agg(F.sort_array(F.collect_list(F.struct("seq", "pt", "part_id", "text"))).alias("x"))
     return said.select("session_id", "block_id", F.array_join("x.text", "\n\n").alias("text"))
 
@@ -223,7 +223,7 @@ def priority_ref_lists(spark, d):
 def prune_error_inputs(spark, d):
     """The inputs of purged failed calls with every top-level text replaced (P15)."""
     gone = analytics.QUERIES["purge_errors"](spark, d).select("call_id")
-    c = views.calls(spark, d).select("call_id", "parameters").join(gone, "call_id", "left_semi").where(F.try_parse_json("parameters").isNotNull())
+    c = views.calls(spark, d, "parameters").select("call_id", "parameters").join(gone, "call_id", "left_semi").where(F.try_parse_json("parameters").isNotNull())
     notice = F.parse_json(F.lit(json.dumps(INPUT_REMOVED)))
     swap = lambda v: F.when(F.schema_of_variant(v) == "STRING", notice).otherwise(v)
     members = F.transform_values(F.from_json("parameters", "map<string,variant>"), lambda k, v: swap(v))
@@ -235,7 +235,7 @@ def prune_error_inputs(spark, d):
 @query
 def clean_outputs(spark, d):
     """Outputs of completed calls without injected reference tags, as strip_tags has the texts (P20)."""
-    p = views.parts(spark, d).where((F.col("type") == "tool") & (F.col("status") == "completed") & F.col("output").isNotNull())
+    p = views.parts(spark, d, output=F.when((F.col("type") == "tool") & (F.col("status") == "completed"), F.col("output"))).where(F.col("output").isNotNull())
     return p.select("id", fx.strip_tags(F.col("output")).alias("output"))
 
 
@@ -255,29 +255,25 @@ _sql(
 
 @query
 def boundary_lookup(spark, d):
-    """Both ends of each block resolved to live messages through the saved references."""
-    b = views.blocks(spark, d).select("session_id", "block_id", fx.boundary(F.col("start_id")).alias("s"), fx.boundary(F.col("end_id")).alias("e"))
+    """Both ends of each block resolved to live messages: mNNNN through the saved references, bN through
+    the anchor of that block of the session, active or not."""
+    b = views.blocks(spark, d)
     live = views.messages(spark, d).select("session_id", "id", "seq")
-    r = _refs(spark, d).join(live, ["session_id", "id"], "left").select("session_id", "n", "seq")
-    first = r.select("session_id", F.col("n").alias("s_n"), F.col("seq").alias("s_seq"), F.lit(True).alias("s_ref"))
-    last = r.select("session_id", F.col("n").alias("e_n"), F.col("seq").alias("e_seq"), F.lit(True).alias("e_ref"))
-    out = b.withColumn("s_n", F.col("s.n")).withColumn("e_n", F.col("e.n")).join(first, ["session_id", "s_n"], "left").join(last, ["session_id", "e_n"], "left")
-    problem = (
-        F.when(F.col("s").isNull() | F.col("e").isNull(), "invalid")
-        .when(F.col("s_ref").isNull() | F.col("e_ref").isNull(), "unknown")
-        .when(F.col("s_seq").isNull() | F.col("e_seq").isNull(), "gone")
-        .when(F.col("s_seq") > F.col("e_seq"), "reversed")
-        .otherwise("ok")
-    )
-    return out.select("session_id", "block_id", problem.alias("problem"), "s_seq", "e_seq")
+    return bx.resolve_boundaries(b, _refs(spark, d), live).select("session_id", "block_id", "problem", "s_seq", "e_seq")
 
 
 _sql(
     "boundary_lookup",
-    f"""{_REFS}{_RANGES}, rs as (select r.session_id, r.n, m.seq from r left join m using (session_id, id))
-select b.session_id, b.block_id, case when g.lo is null or g.hi is null then 'invalid' when x.n is null or y.n is null then 'unknown' when x.seq is null or y.seq is null then 'gone' when x.seq > y.seq then 'reversed' else 'ok' end as problem,
- x.seq as s_seq, y.seq as e_seq
-from b join rg g using (session_id, block_id) left join rs x on x.session_id = b.session_id and x.n = g.lo left join rs y on y.session_id = b.session_id and y.n = g.hi""",
+    f"""{_REFS}, ends as (
+  select session_id, block_id, anchor_message_id, nullif(regexp_extract(lower(trim(start_id)), '^m(\\d{{4}})$', 1), '')::bigint as sm, nullif(regexp_extract(lower(trim(start_id)), '^b([1-9]\\d*)$', 1), '')::bigint as sb,
+         nullif(regexp_extract(lower(trim(end_id)), '^m(\\d{{4}})$', 1), '')::bigint as em, nullif(regexp_extract(lower(trim(end_id)), '^b([1-9]\\d*)$', 1), '')::bigint as eb from b),
+known as (
+  select r.session_id, 'm' as k, r.n, m.seq from r left join m using (session_id, id)
+  union all select e.session_id, 'b', e.block_id, m.seq from ends e left join m on m.session_id = e.session_id and m.id = e.anchor_message_id)
+select e.session_id, e.block_id, case when (coalesce(sm, 0) < 1 and sb is null) or (coalesce(em, 0) < 1 and eb is null) then 'invalid' when x.n is null or y.n is null then 'unknown' when x.seq is null or y.seq is null then 'gone'
+  when x.seq > y.seq then 'reversed' else 'ok' end as problem, x.seq as s_seq, y.seq as e_seq
+from ends e left join known x on x.session_id = e.session_id and x.k = case when sm >= 1 then 'm' when sb is not null then 'b' end and x.n = coalesce(sm, sb)
+left join known y on y.session_id = e.session_id and y.k = case when em >= 1 then 'm' when eb is not null then 'b' end and y.n = coalesce(em, eb)""",
 )
 
 # ---- blocks ------------------------------------------------------------------------------------
@@ -473,7 +469,7 @@ left join (select session_id, count(distinct i) as n_tools from (select session_
 @query
 def alltime_stats(spark, d):
     """Over all saved states: sessions with saved tokens, their tokens and entries."""
-    s = latest_states(load(spark, d, "session_states")).select("session_id", F.from_json("prune_messages", "byMessageId map<string,struct<tokenCount:bigint>>").alias("p"))
+    s = latest_states(load(spark, d, "session_states"), "prune_messages").select("session_id", F.from_json("prune_messages", "byMessageId map<string,struct<tokenCount:bigint>>").alias("p"))
     per = s.select("session_id", F.aggregate(F.map_values("p.byMessageId"), F.lit(0).cast("bigint"), lambda a, x: a + F.coalesce(x["tokenCount"], F.lit(0))).alias("tokens"), F.size("p.byMessageId").alias("n"))
     return per.where(F.col("tokens") > 0).agg(F.count("*").alias("n_sessions"), F.sum("tokens").alias("tokens"), F.sum("n").alias("n_entries"))
 
@@ -491,17 +487,22 @@ select count(*) as n_sessions, sum(tokens)::bigint as tokens, sum(n)::bigint as
 
 @query
 def glob_protected(spark, d):
-    """Calls whose file paths match a protected pattern, per tool."""
-    c = views.calls(spark, d)
+    """Calls one of whose file paths (of single files, patches and edit lists) matches a protected pattern, per tool."""
+    c = views.calls(spark, d, paths=fx.parameter_paths(F.col("tool"), F.col("parameters")))
     anyone = "|".join(fx.glob_regex(p) for p in PATTERNS)
-    path = F.get_json_object("parameters", "$.filePath")
-    return c.groupBy("tool").agg(F.count("*").alias("n"), F.count(path).alias("n_paths"), F.count_if(F.coalesce(fx.normalise_path(path).rlike(anyone), F.lit(False))).alias("n_protected"))
+    hit = F.exists("paths", lambda p: fx.normalise_path(p).rlike(anyone))
+    return c.groupBy("tool").agg(F.count("*").alias("n"), F.sum(F.size("paths").cast("bigint")).alias("n_paths"), F.count_if(F.coalesce(hit, F.lit(False))).alias("n_protected"))
 
 
+_PATHS = r"""list_distinct(list_filter(list_transform(case
+   when tool = 'apply_patch' then regexp_extract_all(coalesce(j->>'patchText', ''), '(?m)^\*\*\* (?:Add|Update|Delete) File: (.+)$', 1)
+   when tool = 'multiedit' then [j->>'filePath'] || coalesce(list_transform((j->'edits')::json[], lambda x: x->>'filePath'), [])
+   else [j->>'filePath', j->>'path'] end, lambda x: trim(x)), lambda x: x is not null and x <> ''))"""
 _sql(
     "glob_protected",
-    f"""select tool, count(*) as n, count(path) as n_paths, count(*) filter (where regexp_matches(replace(path, '\\\\', '/'), '{"|".join(fx.glob_regex(p) for p in PATTERNS)}')) as n_protected
-from (select tool, case when json_valid(parameters) then parameters->>'filePath' end as path from c) group by 1""".replace("'\\\\\\\\'", "'\\\\'"),
+    f""", pp as (select tool, coalesce({_PATHS}, []) as paths from (select tool, case when json_valid(parameters) then parameters::json end as j from c))
+select tool, count(*) as n, sum(len(paths))::bigint as n_paths, count(*) filter (where len(list_filter(paths, lambda x: regexp_matches(replace(x, repeat(chr(92), 2), '/'), '{"|".join(fx.glob_regex(p) for p in PATTERNS)}'))) > 0) as n_protected
+from pp group by 1""".replace("'\\\\'", "'\\'"),
 )
 
 
@@ -532,7 +533,7 @@ _TAGGED = """, tg as (select id, '<protect> keep ' || substr(text, 1, 20) || ' <
 
 
 def _texts(spark, d) -> DataFrame:
-    return views.parts(spark, d).where((F.col("type") == "text") & F.col("text").isNotNull()).select("id", _tagged(F.col("text")).alias("text"))
+    return views.parts(spark, d, text=F.when(F.col("type") == "text", F.col("text"))).where(F.col("text").isNotNull()).select("id", _tagged(F.col("text")).alias("text"))
 
 
 @query

@@ -162,7 +162,7 @@ def _parents(spark: SparkSession, d: str) -> DataFrame:
 
 def _references(spark: SparkSession, d: str) -> DataFrame:
     """References of the counting snapshots: one row per field, holder and key."""
-    states = latest_states(load(spark, d, "session_states")).select(
+    states = latest_states(load(spark, d, "session_states"), "prune_messages", "message_ids").select(
         "session_id",
         F.col("synced_at").alias("taken_at"),
         F.date_format("updated", "yyyy-MM").alias("ref_month"),
