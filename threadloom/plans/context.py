@@ -224,12 +224,17 @@ def prune_error_inputs(spark, d):
     """The inputs of purged failed calls with every top-level text replaced (P15)."""
     gone = analytics.QUERIES["purge_errors"](spark, d).select("call_id")
     c = views.calls(spark, d, "parameters").select("call_id", "parameters").join(gone, "call_id", "left_semi").where(F.try_parse_json("parameters").isNotNull())
-    notice = F.parse_json(F.lit(json.dumps(INPUT_REMOVED)))
-    swap = lambda v: F.when(F.schema_of_variant(v) == "STRING", notice).otherwise(v)
-    members = F.transform_values(F.from_json("parameters", "map<string,variant>"), lambda k, v: swap(v))
+    notice = F.lit(json.dumps(INPUT_REMOVED))
+    # types from variants, which sort members; everything else from the text of the members
+    kinds, raw = F.from_json("parameters", "map<string,variant>"), F.from_json("parameters", "map<string,string>")
+    name = lambda k: F.regexp_replace(F.to_json(F.array(k)), r"^\[|\]$", "")
+    c = c.select("call_id", "parameters", kinds.alias("kinds"), raw.alias("raw"))
+    pairs = F.transform(F.map_keys("kinds"), lambda k: F.concat(name(k), F.lit(":"), F.when(F.schema_of_variant(F.col("kinds")[k]) == "STRING", notice).otherwise(F.coalesce(F.col("raw")[k], F.lit("null")))))
+    swap = lambda v: F.when(F.schema_of_variant(v) == "STRING", F.parse_json(notice)).otherwise(v)
     items = F.transform(F.from_json("parameters", "array<variant>"), swap)
     opening = F.substring(F.ltrim("parameters"), 1, 1)
-    return c.select("call_id", F.when(opening == "{", F.to_json(members)).when(opening == "[", F.to_json(items)).otherwise(F.col("parameters")).alias("parameters"))
+    whole = F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))
+    return c.select("call_id", F.when(opening == "{", whole).when(opening == "[", F.to_json(items)).otherwise(F.col("parameters")).alias("parameters"))
 
 
 @query
