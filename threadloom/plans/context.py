@@ -244,6 +244,13 @@ def clean_outputs(spark, d):
     return p.select("id", fx.strip_tags(F.col("output")).alias("output"))
 
 
+_sql(
+    "clean_outputs",
+    r""" select id, regexp_replace(regexp_replace(regexp_replace(output, '(?is)<context-ref[^>]*>.*?</context-ref>', '', 'g'), '(?i)</?context-ref[^>]*>', '', 'g'), '\n[mM]\d{4}\s*$', '', 'g') as output
+from p where type = 'tool' and status = 'completed' and output is not null""",
+)
+
+
 @query
 def range_overlap(spark, d):
     """Ranges that begin before the one before them in (start, end, id) order ends."""
@@ -622,6 +629,27 @@ def placeholder_inject(spark, d):
     return got.select("session_id", "block_id", F.size(cx.placeholders(named)).cast("bigint").alias("n_named"), cx.wrap(F.col("block_id"), cx.inject(named, F.col("bodies"))).alias("text"))
 
 
+_sql(
+    "priority_ref_lists",
+    f"""{_REFS}{_MTOK}, top as (select session_id, max(n) as top from r group by 1), old as (select m.session_id, m.id, m.seq, r.n from m left join r using (session_id, id)),
+allr as (select session_id, id, n from old where n is not null union all
+  select o.session_id, o.id, coalesce(top, 0) + row_number() over (partition by o.session_id order by seq) from old o left join top using (session_id) where n is null),
+bf as (select mt.session_id, mt.seq, case when tokens >= 5000 then 'high' when tokens >= 500 then 'medium' else 'low' end as priority, 'm' || lpad(n::varchar, 4, '0') as ref
+  from mt join allr on allr.session_id = mt.session_id and allr.id = mt.id and n <= 9999 join (select session_id, max(seq) as anchor from m where role = 'user' group by 1) l on l.session_id = mt.session_id where mt.seq < anchor)
+select session_id, priority, list(ref order by seq) as refs from bf group by all""",
+)
+_sql(
+    "placeholder_inject",
+    """, eats as (select session_id, block_id, summary, unnest(consumed_block_ids) as eaten from b where summary is not null),
+bd as (select e.session_id, e.block_id, e.summary, e.eaten, b.summary as body, row_number() over (partition by e.session_id, e.block_id order by e.eaten, b.summary) as rn from eats e join b on b.session_id = e.session_id and b.block_id = e.eaten and b.summary is not null),
+nm as (select session_id, block_id, summary || ' (b' || arg_min(eaten, rn) || ')' as named, list(eaten order by rn) as ids, list(body order by rn) as bodies from bd group by session_id, block_id, summary),
+pl as (select *, len(regexp_extract_all(named, '\\((b[1-9]\\d*)\\)|\\{block_([1-9]\\d*)\\}', 0)) as n_named, regexp_replace(regexp_replace(named, '\\(b([1-9]\\d*)\\)', chr(1) || '\\1' || chr(1), 'g'), '\\{block_([1-9]\\d*)\\}', chr(1) || '\\1' || chr(1), 'g') as marked from nm),
+fl as (select *, list_reduce(list_prepend({'i': 0::bigint, 'x': marked}, list_transform(list_zip(ids, bodies), lambda z: {'i': z[1], 'x': z[2]})),
+    lambda a, z: {'i': 0::bigint, 'x': case when contains(a.x, chr(1) || z.i || chr(1)) then replace(a.x, chr(1) || z.i || chr(1), z.x) else a.x || chr(10) || chr(10) || z.x end}).x as filled from pl)
+select session_id, block_id, n_named, '[compressed section]' || chr(10) || trim(regexp_replace(filled, chr(1) || '(\\d+)' || chr(1), '(b\\1)', 'g')) || chr(10) || '<block-id>b' || block_id || '</block-id>' as text from fl""",
+)
+
+
 @query
 def rewrite_context(spark, d):
     """The rewritten message list with references and priorities, in order of place."""

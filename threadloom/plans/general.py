@@ -78,6 +78,33 @@ QUERIES["p3_messages"] = _entity("info", False)
 QUERIES.update({name: _entity(entity) for name, entity in ENTITIES.items()})
 
 
+SQL["p3_found"] = r"""
+with rec as (
+  select message_id, arg_max(payload, (exported_at, record_id)) as payload
+  from (select json_extract_string(payload, '$.info.id') as message_id, exported_at, record_id, payload from with_parts where json_valid(payload) and json_type(payload) = 'OBJECT' and json_type(payload, '$.info') = 'OBJECT' and json_type(payload, '$.info.id') = 'VARCHAR')
+  where trim(message_id) <> '' group by message_id),
+ps as (select message_id, case json_type(payload, '$.parts') when 'OBJECT' then json_array(json_extract(payload, '$.parts')) when 'ARRAY' then json_extract(payload, '$.parts') end as parts from rec),
+el as (select message_id, e.key::bigint as i, e.value as part from ps, json_each(ps.parts) e where parts is not null),
+sp as (
+  select message_id, 'parts[' || i || ']' as base, part, json_type(part) as kind, json_type(part, '$.state') as state_kind,
+         case when json_type(part, '$.state') = 'OBJECT' then case when json_type(part, '$.state.input') = 'VARCHAR' then case when json_valid(json_extract_string(part, '$.state.input')) then json_extract_string(part, '$.state.input')::json end else json_extract(part, '$.state.input') end end as input
+  from el),
+nodes as (
+  select message_id, base as path, true as listed, kind from sp
+  union all
+  select message_id, base || substr(t.fullkey, 2), ends_with(t.fullkey, ']'), t.type from sp, json_tree(case when kind = 'OBJECT' and state_kind = 'OBJECT' then json_merge_patch(part, '{"state": {"input": null}}') else part end) t where t.fullkey <> '$'
+  union all
+  select message_id, base || '.state.input' || substr(t.fullkey, 2), ends_with(t.fullkey, ']'), t.type
+  from (select message_id, base, case when json_type(input) = 'OBJECT' then json_merge_patch(input, json_object(
+     'todos', case when json_type(input, '$.todos') = 'OBJECT' then json_array(json_extract(input, '$.todos')) else json_extract(input, '$.todos') end,
+     'questions', case when json_type(input, '$.questions') = 'OBJECT' then json_array(json_extract(input, '$.questions')) else json_extract(input, '$.questions') end,
+     'tool_calls', case when json_type(input, '$.tool_calls') = 'OBJECT' then json_array(json_extract(input, '$.tool_calls')) else json_extract(input, '$.tool_calls') end,
+     'content', case when json_type(input, '$.content') = 'OBJECT' then json_array(json_extract(input, '$.content')) else json_extract(input, '$.content') end)) else input end as input
+    from sp where json_type(input) in ('OBJECT', 'ARRAY')), json_tree(input) t where t.fullkey <> '$')
+select distinct message_id, path as json_path from nodes where listed and kind = 'OBJECT'
+"""
+
+
 # ---- p4: hierarchies ---------------------------------------------------------------------------
 
 
