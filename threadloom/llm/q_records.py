@@ -65,6 +65,18 @@ def p6_collapsed(spark, d):
     return duplicates.collapsed_calls(load(spark, d, "tool_calls"))
 
 
+_FOLDED = r"""
+with r as (select distinct call_id, tool, parameters::json as j, parameters from tool_calls where call_id is not null and parameters is not null and json_valid(parameters)),
+t as (
+  select r.call_id, r.tool, r.parameters, lower(e.fullkey) as k,
+         case when e.type = 'VARCHAR' then 'S' || regexp_replace(lower(e.atom->>'$'), '[^\p{L}\p{N}]', '', 'g') when e.type in ('UBIGINT', 'BIGINT', 'DOUBLE') then 'N' || (e.atom::double)::varchar else e.type || coalesce(e.atom::varchar, '') end as v
+  from r, json_tree(r.j) e),
+f as (select distinct call_id, regexp_replace(lower(coalesce(tool, '')), '[^\p{L}\p{N}]', '', 'g') || chr(10) || md5(string_agg(k || '=' || v, chr(10) order by k, v)) as sig from t group by call_id, tool, parameters)
+"""
+SQL["p6_found"] = f"{_FOLDED} select distinct first_call_id, call_id from (select call_id, min(call_id) over (partition by sig) as first_call_id from f) where call_id <> first_call_id"
+SQL["p6_collapsed"] = f"{_FOLDED} select min(call_id) as call_id, count(*) as n_calls from f group by sig"
+
+
 @query
 def p5_found(spark, d):
     calls = secrets.found_in_calls(load(spark, d, "tool_calls")).select(
