@@ -13,12 +13,12 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
 
-try:
-    from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-except ImportError:  # an older PySpark: the batch twin still works
-    StatefulProcessor, StatefulProcessorHandle = object, object
-
+EVENT = (
+    "type string, time bigint, properties struct<time:bigint, part:struct<type:string,tool:string,callID:string,messageID:string,sessionID:string,"
+    "state:struct<status:string,time:struct<start:bigint,end:bigint>>>>"
+)
 OUTPUT = "message_id string, call_id string, duration_ms bigint"
 _ORDER = {"pending": 0, "running": 1, "completed": 2}
 
@@ -45,37 +45,48 @@ def _ordered(pdf: pd.DataFrame) -> list[tuple]:
     return sorted(rows, key=lambda r: (r[1] is None, r[1] or 0, _ORDER.get(r[0], 3)))
 
 
-class Durations(StatefulProcessor):
-    """Keeps the start of each open call; state older than ``ttl_ms`` is dropped."""
-
-    def __init__(self, ttl_ms: int = 7 * 86_400_000):
-        self.ttl_ms = ttl_ms
+def tool_events(raw: DataFrame, tool: str | None = None) -> DataFrame:
+    """Events in the columns that this module reads from lifecycle events as JSON text (``value``).
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.start = handle.getValueState("start", "at bigint", self.ttl_ms)
+    Only updates of tool parts (of ``tool``, if named) with a message and a call. The time of an event is
+    its own, else that of its properties; a pending one without either takes the time of processing.
+    """
+    e = raw.select(F.from_json("value", EVENT).alias("e")).select("e.*").where(F.col("type") == "message.part.updated")
+    part, state = "properties.part", "properties.part.state"
+    told = F.coalesce("time", "properties.time")
+    now = F.when(F.col(f"{state}.status") == "pending", F.unix_millis(F.current_timestamp()))
+    rows = e.where((F.col(f"{part}.type") == "tool") & ((F.col(f"{part}.tool") == tool) if tool else F.lit(True))).select(
+        F.col(f"{part}.messageID").alias("message_id"), F.col(f"{part}.callID").alias("call_id"), F.col(f"{state}.status").alias("status"), F.coalesce(told, now).alias("event_ms"),
+        F.col(f"{state}.time.start").alias("start_ms"), F.col(f"{state}.time.end").alias("end_ms"),
+    )
+    return rows.where(F.col("message_id").isNotNull() & F.col("call_id").isNotNull())
+
+
+def stream_durations(events: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+    """Streaming durations. Events without a call are left out.
+
+    The state of a call is the start of its clock, from its first pending event to its end; with
+    ``ttl_ms`` a start is also forgotten when no event of the call came for so long (empty batches then
+    go on for the sake of the clock: use a processing-time trigger). A stream is restarted from its checkpoint without loss or repeats.
+    """
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        events = _ordered(pd.concat(list(rows)))
-        start, out = fold(self.start.get()[0] if self.start.exists() else None, events)
-        if start is None:
-            self.start.clear()
-        else:
-            self.start.update((start,))
+    def each(key, rows: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        start, out = fold(state.get[0] if state.exists else None, _ordered(pd.concat(list(rows))))
+        if start is not None:
+            state.update((start,))
+            if ttl_ms is not None:
+                state.setTimeoutDuration(ttl_ms)
+        elif state.exists:
+            state.remove()
         if out:  # plain objects: string arrays of pandas come in chunks, which the writer refuses
             text = lambda x: pd.Series([x] * len(out), dtype=object)
             yield pd.DataFrame({"message_id": text(key[0]), "call_id": text(key[1]), "duration_ms": pd.Series(out, dtype="int64")})
 
-    def close(self) -> None:
-        pass
-
-
-def stream_durations(events: DataFrame, ttl_ms: int = 7 * 86_400_000) -> DataFrame:
-    """Streaming durations; needs the RocksDB state store. Events without a call are left out."""
-    return (
-        events.where(F.col("message_id").isNotNull() & F.col("call_id").isNotNull())
-        .groupBy("message_id", "call_id")
-        .transformWithStateInPandas(Durations(ttl_ms), OUTPUT, "append", "ProcessingTime")
-    )
+    timeout = GroupStateTimeout.NoTimeout if ttl_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    return events.where(F.col("message_id").isNotNull() & F.col("call_id").isNotNull()).groupBy("message_id", "call_id").applyInPandasWithState(each, OUTPUT, "at bigint", "append", timeout)
 
 
 def batch_durations(events: DataFrame) -> DataFrame:
