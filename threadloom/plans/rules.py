@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from threadloom.functions import display
 from threadloom.functions import text as fx
 from threadloom.operators import blocks as bx
 from threadloom.operators.scan import scan
@@ -491,3 +492,26 @@ _sql(
     """ select id, directory, title, strftime(make_timestamp(time_created * 1000), '%Y-%m-%dT%H:%M:%S') as created, strftime(make_timestamp(time_updated * 1000), '%Y-%m-%dT%H:%M:%S') as updated
 from s where parent_id is null and directory = (select min(directory) from s) order by time_updated desc, id limit 20 offset 2""",
 )
+
+
+@query
+def call_labels(spark, d):
+    """What each call is about, in short."""
+    return views.calls(spark, d, label=display.call_label(F.col("tool"), F.col("parameters"))).select("call_id", "tool", "label")
+
+
+_sql(
+    "call_labels",
+    r""", j as (select call_id, tool, case when json_valid(parameters) then parameters::json end as v from c),
+f as (select call_id, tool, v, nullif(v->>'filePath', '') as file, nullif(v->>'offset', '') as o, nullif(v->>'limit', '') as l, nullif(v->>'pattern', '') as pat, nullif(v->>'path', '') as path, nullif(v->>'description', '') as descr, nullif(v->>'command', '') as cmd,
+  list_distinct(list_transform(regexp_extract_all(coalesce(v->>'patchText', ''), '(?m)^\*\*\* (?:Add|Update|Delete) File: (.+)$', 1), lambda x: trim(x))) as fs from j)
+select call_id, tool, coalesce(case when v is null then ''
+ when tool = 'read' and file is not null then file || case when o is not null and l is not null then ' (lines ' || o || '-' || (o::bigint + l::bigint) || ')' when o is not null then ' (lines ' || o || '+)' when l is not null then ' (lines 0-' || l || ')' else '' end
+ when tool in ('write', 'edit', 'multiedit') and file is not null then file
+ when tool = 'apply_patch' and v->>'patchText' <> '' then case when len(fs) = 0 then 'patch' when len(fs) <= 2 then array_to_string(list_sort(fs), ', ') else len(fs) || ' files' end
+ when tool in ('glob', 'grep') then coalesce('"' || pat || '"' || coalesce(' in ' || path, ''), '(unknown pattern)')
+ when tool = 'bash' and coalesce(descr, cmd) is not null then coalesce(descr, case when length(cmd) > 50 then substr(cmd, 1, 50) || '...' else cmd end)
+ when tool = 'todowrite' then coalesce(json_array_length(v->'todos'), 0) || ' todos'
+ when tool = 'task' and descr is not null then descr
+ when json(v)::varchar in ('{}', '[]', 'null') then '' else substr(json(v)::varchar, 1, 50) end, '') as label from f""",
+)
