@@ -132,3 +132,11 @@ def test_snapshot(spark, folder):
     rows = rules.minimized_context(spark, folder).collect()
     assert {r["type"] for r in rows} <= {"text", "reasoning", "tool"} and not any(r["body"] == "hidden" or r["body"] == "x" * 40 for r in rows)
     assert [r["id"] for r in rules.session_page(spark, folder).collect()] == []
+
+
+def test_limits(spark):
+    usage = spark.createDataFrame([("a", "m", 84), ("b", "m", 86), ("c", "m", 86), ("d", "m", 49), ("e", "other", 5)], "session_id string, model string, used long")
+    windows = spark.createDataFrame([("m", 100)], "model string, win long")
+    buffers = spark.createDataFrame([("c", 3)], "session_id string, buffer long")
+    got = {r["session_id"]: (r["over_min"], r["over_max"]) for r in rules.against_limits(usage, windows, buffers).collect()}
+    assert got == {"a": (True, False), "b": (True, True), "c": (True, False), "d": (False, False), "e": (True, False)}

@@ -311,37 +311,6 @@ j as (
 select session_id, total, system_tokens, user_tokens, tool_tokens, greatest(total - system_tokens - user_tokens - tool_tokens, 0) as assistant_tokens, n_tools from j""",
 )
 
-#: Context windows of the models, in tokens.
-LIMITS = {"lumen-large": 200_000, "lumen-mini": 64_000, "orbita-2": 128_000, "cairn-7b": 32_000}
-
-
-@query
-def over_limits(spark, d):
-    """Per session: current usage since the last compaction and whether it passes half or 85 % of the window."""
-    m = views.messages(spark, d, False)
-    spoke = (F.col("role") == "assistant") & (F.col("output") > 0)
-    key = F.when(spoke, F.struct("t", "id"))
-    used = F.col("input") + F.col("output") + F.col("reasoning") + F.col("cache_read") + F.col("cache_write")
-    per = m.groupBy("session_id").agg(
-        F.max_by(F.struct(used.alias("used"), "model", "t", "summary"), key).alias("u"), F.max(F.when(F.col("summary"), F.col("t"))).alias("compacted")
-    ).where(F.col("u").isNotNull())
-    stale = F.col("u.summary") | F.coalesce(F.col("u.t") < F.col("compacted"), F.lit(False))
-    limits = spark.createDataFrame(list(LIMITS.items()), "model string, win bigint")
-    now = per.select("session_id", F.col("u.model").alias("model"), F.when(stale, F.lit(0)).otherwise(F.col("u.used")).alias("used"))
-    win = F.coalesce("win", F.lit(100_000))
-    return now.join(F.broadcast(limits), "model", "left").select("session_id", "used", (F.col("used") * 2 >= win).alias("over_min"), (F.col("used") * 100 > win * 85).alias("over_max"))
-
-
-_sql(
-    "over_limits",
-    f""", limits(model, win) as (values {", ".join(f"('{k}', {v})" for k, v in LIMITS.items())}),
-per as (
-  select session_id, arg_max({{'used': input + output + reasoning + cache_read + cache_write, 'model': model, 't': t, 'summary': summary}}, t::varchar || id) filter (where role = 'assistant' and output > 0) as u,
-         max(t) filter (where summary) as compacted from m group by 1)
-select session_id, used, used * 2 >= win as over_min, used * 100 > win * 85 as over_max
-from (select session_id, case when u.summary or coalesce(u.t < compacted, false) then 0 else u.used end as used, coalesce(win, 100000) as win from per left join limits on model = u.model where u is not null)""",
-)
-
 # ---- cache impact ------------------------------------------------------------------------------
 
 
@@ -424,6 +393,48 @@ select tool, sum(k)::bigint as n_calls, sum(k * pi)::bigint as input_before, sum
 )
 
 
+def _impact_events(spark, d) -> DataFrame:
+    """One row per context call: the counters of its own answer and of the next."""
+    s = scan(
+        _context_steps(spark, d), ["session_id"], "day", ["t", "id"],
+        {"k": ("lag", F.col("n0") + F.col("n1")), "prev_input": ("lag", "input"), "prev_cache": ("lag", "cache_read")},
+    )
+    return s.where(F.col("k") > 0).select("session_id", "k", "input", "cache_read", "prev_input", "prev_cache")
+
+
+@query
+def impact_total(spark, d):
+    """Over all context calls: pooled hit rates before and after, average prompts and what left the cache."""
+    e, k = _impact_events(spark, d), F.col("k")
+    sums = e.agg(*[F.coalesce(F.sum(k * F.col(c)), F.lit(0)).alias(c) for c in ("input", "cache_read", "prev_input", "prev_cache")], F.coalesce(F.sum(k), F.lit(0)).alias("n_calls"))
+    return sums.select(
+        "n_calls", fx.hit_rate(F.col("prev_cache"), F.col("prev_input")).alias("hit_before"), fx.hit_rate(F.col("cache_read"), F.col("input")).alias("hit_after"),
+        F.try_divide(F.col("prev_input") + F.col("prev_cache"), F.col("n_calls")).alias("prompt_before"), F.try_divide(F.col("input") + F.col("cache_read"), F.col("n_calls")).alias("prompt_after"),
+        F.greatest(F.col("prev_cache") - F.col("cache_read"), F.lit(0)).alias("cache_lost"),
+    )
+
+
+@query
+def impact_by_session(spark, d):
+    """Per session: context calls and the mean change of the hit rate, of changes in tenths of a percent."""
+    e = _impact_events(spark, d)
+    tenths = F.bround((fx.hit_rate(F.col("cache_read"), F.col("input")) - fx.hit_rate(F.col("prev_cache"), F.col("prev_input"))) * 10).cast("bigint")
+    return e.groupBy("session_id").agg(F.sum("k").alias("n_calls"), (F.sum(F.col("k") * tenths) / F.sum("k") / 10).alias("mean_change"))
+
+
+_EV = f"""{_CST}, ev as (select * from (select session_id, lag(n0 + n1) over w as k, lag(input) over w as pi, lag(cache_read) over w as pc, input, cache_read from cs window w as (partition by session_id order by t, id)) where k > 0)"""
+_sql(
+    "impact_total",
+    f"""{_EV}, t as (select coalesce(sum(k), 0)::bigint as n_calls, coalesce(sum(k * input), 0)::bigint as i, coalesce(sum(k * cache_read), 0)::bigint as c, coalesce(sum(k * pi), 0)::bigint as pi, coalesce(sum(k * pc), 0)::bigint as pc from ev)
+select n_calls, coalesce(pc * 100.0::double / nullif(pc + pi, 0), 0) as hit_before, coalesce(c * 100.0::double / nullif(c + i, 0), 0) as hit_after, (pi + pc) / nullif(n_calls, 0) as prompt_before, (i + c) / nullif(n_calls, 0) as prompt_after, greatest(pc - c, 0) as cache_lost from t""",
+)
+_sql(
+    "impact_by_session",
+    f"""{_EV}, dl as (select session_id, k, round_even((coalesce(cache_read * 100.0::double / nullif(cache_read + input, 0), 0) - coalesce(pc * 100.0::double / nullif(pc + pi, 0), 0)) * 10, 0)::bigint as x from ev)
+select session_id, sum(k)::bigint as n_calls, sum(k * x)::bigint / sum(k)::bigint / 10 as mean_change from dl group by 1""",
+)
+
+
 @query
 def recovery_by_distance(spark, d):
     """Cache hit rate by the number of answers since the last context tool (first answer after is 0)."""

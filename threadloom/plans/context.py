@@ -146,18 +146,19 @@ from s join (select *, row_number() over (partition by session_id order by seq d
 
 @query
 def stale_metadata(spark, d):
-    """Text and tool parts whose metadata is dropped: answers of another model than the last user asked."""
-    m = views.messages(spark, d, False)
-    last = m.where(F.col("role") == "user").groupBy("session_id").agg(F.max_by("model", F.struct("t", "id")).alias("asked"))
-    old = m.where(F.col("role") == "assistant").join(last, "session_id").where(F.col("model") != F.col("asked")).select("session_id", F.col("id").alias("message_id"), "model", "asked")
+    """Text and tool parts whose metadata is dropped: of answers by another provider or model than the last user asked."""
+    m = views.messages(spark, d, False).withColumn("by", F.concat_ws("/", "provider", "model"))
+    last = m.where(F.col("role") == "user").groupBy("session_id").agg(F.max_by("by", F.struct("t", "id")).alias("asked"))
+    old = m.where(F.col("role") == "assistant").join(last, "session_id").where(F.col("by") != F.col("asked")).select("session_id", F.col("id").alias("message_id"), "by", "asked")
     p = views.parts(spark, d, "type", "has_metadata").where(F.col("has_metadata") & F.col("type").isin("text", "tool")).select("id", "message_id")
-    return p.join(old, "message_id").select("session_id", "message_id", "id", "model", "asked")
+    return p.join(old, "message_id").select("session_id", "message_id", "id", "by", "asked")
 
 
 _sql(
     "stale_metadata",
-    """select m.session_id, p.message_id, p.id, m.model, asked from p join m on m.id = p.message_id join (select session_id, arg_max(model, seq) as asked from m where role = 'user' group by 1) l on l.session_id = m.session_id
-where m.role = 'assistant' and m.model <> asked and p.has_metadata and p.type in ('text', 'tool')""",
+    """, mb as (select *, provider || '/' || model as "by" from m)
+select mb.session_id, p.message_id, p.id, mb."by", asked from p join mb on mb.id = p.message_id join (select session_id, arg_max("by", seq) as asked from mb where role = 'user' group by 1) l on l.session_id = mb.session_id
+where mb.role = 'assistant' and mb."by" <> asked and p.has_metadata and p.type in ('text', 'tool')""",
 )
 
 # ---- ranges ------------------------------------------------------------------------------------

@@ -515,3 +515,52 @@ select call_id, tool, coalesce(case when v is null then ''
  when tool = 'task' and descr is not null then descr
  when json(v)::varchar in ('{}', '[]', 'null') then '' else substr(json(v)::varchar, 1, 50) end, '') as label from f""",
 )
+
+# ---- limits ------------------------------------------------------------------------------------
+
+#: Context windows of the models of the query below, in tokens.
+WINDOWS = {"lumen-large": 200_000, "lumen-mini": 64_000, "orbita-2": 128_000, "cairn-7b": 32_000}
+LEAST, MOST = 50, 85
+
+
+def current_usage(messages: DataFrame) -> DataFrame:
+    """(session_id, model, used): the five counters of the last answer with output, 0 where a later
+    compaction has made them void or the answer is its summary."""
+    spoke = (F.col("role") == "assistant") & (F.col("output") > 0)
+    five = F.col("input") + F.col("output") + F.col("reasoning") + F.col("cache_read") + F.col("cache_write")
+    per = messages.groupBy("session_id").agg(
+        F.max_by(F.struct(five.alias("used"), "model", "t", "summary"), F.when(spoke, F.struct("t", "id"))).alias("u"), F.max(F.when(F.col("summary"), F.col("t"))).alias("compacted")
+    )
+    void = F.col("u.summary") | F.coalesce(F.col("u.t") < F.col("compacted"), F.lit(False))
+    return per.where(F.col("u").isNotNull()).select("session_id", F.col("u.model").alias("model"), F.when(void, F.lit(0)).otherwise(F.col("u.used")).alias("used"))
+
+
+def against_limits(usage: DataFrame, windows: DataFrame, buffers: DataFrame, least: int = LEAST, most: int = MOST) -> DataFrame:
+    """(session_id, used, over_min, over_max): used against percentages of the model's window.
+
+    windows: model, win; buffers: session_id, buffer (tokens of active summaries, added to the upper
+    limit). Models without a window are over the lower limit and never over the upper one.
+    """
+    known = usage.join(windows, "model", "left").join(buffers, "session_id", "left")
+    over_max = F.col("used") * 100 > F.col("win") * most + F.coalesce("buffer", F.lit(0)) * 100
+    return known.select("session_id", "used", F.coalesce(F.col("used") * 100 >= F.col("win") * least, F.lit(True)).alias("over_min"), F.coalesce(over_max, F.lit(False)).alias("over_max"))
+
+
+@query
+def over_limits(spark, d):
+    """Per session: current usage and whether it passes half or 85 % of the window of its model."""
+    windows = spark.createDataFrame(list(WINDOWS.items()), "model string, win bigint")
+    buffers = context.active_summary_tokens(spark, d).select("session_id", F.col("tokens").alias("buffer"))
+    return against_limits(current_usage(views.messages(spark, d, False)), windows, buffers)
+
+
+_sql(
+    "over_limits",
+    f"""{context._REPLAY}, windows(model, win) as (values {", ".join(f"('{k}', {v})" for k, v in WINDOWS.items())}),
+per as (
+  select session_id, arg_max({{'used': input + output + reasoning + cache_read + cache_write, 'model': model, 't': t, 'summary': summary}}, t::varchar || id) filter (where role = 'assistant' and output > 0) as u,
+         max(t) filter (where summary) as compacted from m group by 1),
+u as (select session_id, u.model as model, case when u.summary or coalesce(u.t < compacted, false) then 0 else u.used end as used from per where u is not null)
+select u.session_id, used, coalesce(used * 100 >= win * {LEAST}, true) as over_min, coalesce(used * 100 > win * {MOST} + coalesce(buffer, 0) * 100, false) as over_max
+from u left join windows using (model) left join (select session_id, sum(summary_tokens)::bigint as buffer from rp where now_active group by 1) x on x.session_id = u.session_id""",
+)
