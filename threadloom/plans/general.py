@@ -78,7 +78,8 @@ QUERIES["p3_messages"] = _entity("info", False)
 QUERIES.update({name: _entity(entity) for name, entity in ENTITIES.items()})
 
 
-SQL["p3_found"] = r"""
+#: Nodes of the counting exports below ``parts`` by their paths, with bare objects as lists of one.
+_NODES = r"""
 with rec as (
   select message_id, arg_max(payload, (exported_at, record_id)) as payload
   from (select json_extract_string(payload, '$.info.id') as message_id, exported_at, record_id, payload from with_parts where json_valid(payload) and json_type(payload) = 'OBJECT' and json_type(payload, '$.info') = 'OBJECT' and json_type(payload, '$.info.id') = 'VARCHAR')
@@ -101,8 +102,18 @@ nodes as (
      'tool_calls', case when json_type(input, '$.tool_calls') = 'OBJECT' then json_array(json_extract(input, '$.tool_calls')) else json_extract(input, '$.tool_calls') end,
      'content', case when json_type(input, '$.content') = 'OBJECT' then json_array(json_extract(input, '$.content')) else json_extract(input, '$.content') end)) else input end as input
     from sp where json_type(input) in ('OBJECT', 'ARRAY')), json_tree(input) t where t.fullkey <> '$')
-select distinct message_id, path as json_path from nodes where listed and kind = 'OBJECT'
 """
+SQL["p3_found"] = f"{_NODES} select distinct message_id, path as json_path from nodes where listed and kind = 'OBJECT'"
+SQL["p3_entities"] = rf"""{_NODES},
+objects as (
+  select message_id, '' as entity, false as owned from rec
+  union all
+  select message_id, 'info' || regexp_replace(substr(t.fullkey, 2), '\[\d+\]', '', 'g'), true from (select message_id, json_extract(payload, '$.info') as info from rec), json_tree(info) t where t.type = 'OBJECT'
+  union all
+  select message_id, regexp_replace(path, '\[\d+\]', '', 'g'), true from nodes where kind = 'OBJECT'
+  union all
+  select message_id, 'parts.state.input', true from sp where json_type(input) = 'OBJECT')
+select entity, count(*) as n_rows, count(*) filter (where owned) as n_owned from objects group by 1"""
 
 
 # ---- p4: hierarchies ---------------------------------------------------------------------------
