@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from threadloom.llm import leakage, mixing, residue
-from threadloom.llm.registry import query
+from threadloom.llm.registry import SQL, query
 from threadloom.sources.tables import load
 
 
@@ -22,6 +22,26 @@ def p8_items(spark, d):
     return load(spark, d, "benchmark").select("item_id").join(per_item, "item_id", "left").na.fill(0)
 
 
+_LEAKS = r"""
+with clean as (
+  select 'd' as side, doc_id as id, text as t from documents where doc_id is not null and text is not null union all
+  select 'i', item_id, text from benchmark where item_id is not null and text is not null),
+bare as (
+  select side, id, regexp_replace(regexp_replace(regexp_replace(t, '\([^()\[\]]*\)|\[[^()\[\]]*\]', ' ', 'g'), '\([^()\[\]]*\)|\[[^()\[\]]*\]', ' ', 'g'), '\([^()\[\]]*\)|\[[^()\[\]]*\]', ' ', 'g') as t from clean),
+words as (select side, id, list_transform(regexp_extract_all(t, '[\p{L}\p{N}]+'), lambda x: lower(nfc_normalize(x))) as ws from bare),
+wins as (select distinct id as item_id, array_to_string(ws[i : i + 12], '') as w from (select id, ws, unnest(range(1, len(ws) - 11)) as i from words where side = 'i')),
+docs as (select id as doc_id, array_to_string(ws, '') as letters, ws from words where side = 'd'),
+pos as (
+  select doc_id, i, sum(length(word)) over (partition by doc_id order by i) as upto, length(word) as n from (select doc_id, unnest(ws) as word, generate_subscripts(ws, 1) as i from docs)),
+starts as (select pos.doc_id, (upto - n + 1)::bigint as a, substr(letters, (upto - n + 1)::bigint, 13) as k from pos join docs using (doc_id)),
+hits as (select starts.doc_id, item_id, a, w from starts join wins on k = substr(w, 1, 13)),
+leaks as (
+  select distinct hits.doc_id, hits.item_id
+  from hits join docs using (doc_id) join pos on pos.doc_id = hits.doc_id and pos.upto = a - 1 + length(w) where substr(letters, a, length(w)) = w)
+"""
+SQL["p8_found"] = f"{_LEAKS} select doc_id, item_id from leaks"
+
+
 @query
 def p9_mix(spark, d):
     mixed, _ = mixing.mix(load(spark, d, "documents"), load(spark, d, "mix_targets"))
