@@ -62,3 +62,15 @@ def test_descendants(spark):
 @pytest.mark.skipif(not test_entry.DATA.exists(), reason="no test tables")
 def test_pairs_equal_sql(spark):
     test_entry.test_query_equals_sql(spark, "p4_pairs")
+
+
+def test_roots_equal_the_paths(spark):
+    import random
+
+    rng = random.Random(6)
+    rows = [(f"n{i}", f"n{rng.randrange(i)}" if i and rng.random() < 0.95 else rng.choice([None, "nowhere"])) for i in range(300)] + [("a", "b"), ("b", "c"), ("c", "a"), ("d", "a"), ("self", "self")]
+    rows += [(f"deep{i}", f"deep{i - 1}" if i else None) for i in range(70)]
+    links = spark.createDataFrame(rows, "node string, parent string")
+    got = {r["node"]: r["root"] for r in h.resolve_roots(links).collect()}
+    assert got == {r["node"]: r["root"] for r in h.resolve_hierarchy(links).collect()} and got["d"] is None and got["deep69"] == "deep0"
+    assert h.resolve_roots(links.limit(0)).count() == 0

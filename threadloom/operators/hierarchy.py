@@ -80,6 +80,27 @@ def resolve_hierarchy(links: DataFrame, max_rounds: int = 64) -> DataFrame:
     )
 
 
+def resolve_roots(links: DataFrame, max_rounds: int = 64) -> DataFrame:
+    """(node, root) of every node, by pointer doubling without paths, so that a row stays small however
+    deep its tree. ``links`` as for :func:`resolve_hierarchy`; nodes on a cycle or below one have a null root."""
+    ids = links.select(F.col("node").alias("known"))
+    # at: the pointer, itself for a root; done: whether it is a root
+    state = cut(links.join(ids, F.col("parent") == F.col("known"), "left").select("node", F.coalesce("known", "node").alias("at"), F.col("known").isNull().alias("done")), "roots")
+    still = state.where("not done").count()
+    resolved, open_rows = [state.where("done")], state.where("not done")
+    for _ in range(max_rounds):
+        if not still:
+            break
+        hop = union_all([*resolved, open_rows]).select(F.col("node").alias("at"), F.col("at").alias("next"), F.col("done").alias("h_done"))
+        moved = cut(open_rows.join(hop, "at").select("node", F.col("next").alias("at"), F.col("h_done").alias("done")), "roots")
+        resolved.append(moved.where("done"))
+        open_rows = moved.where("not done")
+        before, still = still, open_rows.count()
+        if still == before:
+            break
+    return union_all([*resolved, open_rows]).select("node", F.when(F.col("done"), F.col("at")).alias("root"))
+
+
 def descendants(tree: DataFrame) -> DataFrame:
     """(ancestor, descendant, distance) for all pairs of a resolved hierarchy, cycles excluded."""
     return tree.select(
