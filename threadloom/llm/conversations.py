@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.durable import cut, drop_cut
-from threadloom.operators.hierarchy import resolve_hierarchy
+from threadloom.operators.hierarchy import resolve_roots
 from threadloom.operators.store import epoch_ms, role_name
 
 #: Most agents and models that may speak; their names are held by every task.
@@ -389,7 +389,7 @@ def reply_trees(links: DataFrame) -> DataFrame:
     heads = runs.where(F.col("head").isNotNull()).join(
         member, (F.col("session_id") == F.col("m_session")) & (F.col("parent_seq") == F.col("m_seq")), "left"
     )
-    tree = resolve_hierarchy(heads.select(key(F.col("session_id"), F.col("head")).alias("node"), F.when(F.col("m_run").isNotNull(), key(F.col("session_id"), F.col("m_run"))).alias("parent")))
+    tree = resolve_roots(heads.select(key(F.col("session_id"), F.col("head")).alias("node"), F.when(F.col("m_run").isNotNull(), key(F.col("session_id"), F.col("m_run"))).alias("parent")))
     roots = tree.select(F.col("node").alias("run_key"), F.substring_index("root", "\n", -1).cast("bigint").alias("root_seq"))
     named = runs.withColumn("run_key", key(F.col("session_id"), F.col("run"))).join(roots, "run_key")
     return named.withColumn("tree_id", F.concat_ws("#", "session_id", F.col("root_seq").cast("string"))).drop("run_key", "head", "run", "bucket")
