@@ -564,3 +564,26 @@ u as (select session_id, u.model as model, case when u.summary or coalesce(u.t <
 select u.session_id, used, coalesce(used * 100 >= win * {LEAST}, true) as over_min, coalesce(used * 100 > win * {MOST} + coalesce(buffer, 0) * 100, false) as over_max
 from u left join windows using (model) left join (select session_id, sum(summary_tokens)::bigint as buffer from rp where now_active group by 1) x on x.session_id = u.session_id""",
 )
+
+# ---- protected content -------------------------------------------------------------------------
+
+
+@query
+def protected_user_texts(spark, d):
+    """Per block that covers messages of users: the first text of each that is not ignored, in order."""
+    f = message_facts(spark, d).where((F.col("role") == "user") & ~F.col("ignored_user")).select("session_id", F.col("id").alias("message_id"), "seq")
+    blank = F.regexp_replace("text", r"(?U)^\s+|\s+$", "")
+    said = views.parts(spark, d, text=F.when((F.col("type") == "text") & (blank != ""), F.col("text"))).where(F.col("text").isNotNull())
+    first = said.groupBy("message_id").agg(F.min_by("text", F.struct(F.coalesce("pt", F.lit(0)), "id")).alias("text"))
+    cover = views.blocks(spark, d).select("session_id", "block_id", F.explode(F.array_distinct("effective_message_ids")).alias("message_id"))
+    rows = cover.join(f, ["session_id", "message_id"]).join(first, "message_id").groupBy("session_id", "block_id").agg(F.sort_array(F.collect_list(F.struct("seq", "text"))).alias("x"))
+    return rows.select("session_id", "block_id", F.array_join("x.text", "\n\n").alias("text"))
+
+
+_sql(
+    "protected_user_texts",
+    f"""{_FACTS}, ft as (select message_id, arg_min(text, (coalesce(pt, 0), id)) as text from p where type = 'text' and trim(text, e' \\t\\n\\r') <> '' group by 1),
+cv as (select distinct session_id, block_id, unnest(effective_message_ids) as message_id from b)
+select cv.session_id, cv.block_id, string_agg(ft.text, chr(10) || chr(10) order by seq) as text
+from cv join mf on mf.session_id = cv.session_id and mf.id = cv.message_id and mf.role = 'user' and not ignored_user join ft on ft.message_id = mf.id group by all""",
+)
