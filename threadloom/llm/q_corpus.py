@@ -56,15 +56,14 @@ def p9_shares(spark, d):
 
 @query
 def p10_found(spark, d):
-    docs = load(spark, d, "documents")
-    return residue.residue(docs, residue.train(docs)).select("doc_id").distinct()
+    return residue.found(load(spark, d, "documents"))
 
 
 @query
 def p10_clean(spark, d):
     """The documents that are left once residue is taken out."""
     docs = load(spark, d, "documents")
-    return docs.join(residue.residue(docs, residue.train(docs)).select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id", "text", "lang", "source")
+    return docs.join(residue.found(docs), "doc_id", "left_anti").select("doc_id", "text", "lang", "source")
 
 
 @query
